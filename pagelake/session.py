@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,7 +42,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder; the result survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def write_through(df: DataFrame) -> DataFrame:
+    """Write ``df`` below the checkpoint folder and read it back.
+
+    This cuts the lineage, survives lost executors, and unlike ``checkpoint()`` keeps columns apart
+    and sizes known, so later steps read only what they need and joins are planned on real sizes.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/pagelake-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
