@@ -10,6 +10,7 @@ from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _ratio(gold: str, pred: str, floor: float = 0.0) -> float:
@@ -25,7 +26,7 @@ def _ratio(gold: str, pred: str, floor: float = 0.0) -> float:
     return matcher.ratio()
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def string_ratio(gold: pa.Array, pred: pa.Array) -> pa.Array:
     """Ratcliff-Obershelp ratio per row, NULL where either side is NULL."""
     pairs = zip(gold.to_pylist(), pred.to_pylist(), strict=True)
@@ -41,7 +42,7 @@ def _best(item: str, options: list[str], known: frozenset[str]) -> float:
     return best
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def best_match_mean(gold: pa.Array, pred: pa.Array) -> pa.Array:
     """Mean over gold items of the best ratio among the row's predicted items; NULL for NULL or no gold.
 

@@ -51,6 +51,11 @@ def _list_counts(gold: Column, pred: Column) -> Column:
     return F.get(F.transform(F.array(sets), counted), 0)
 
 
+def _as_values(pred: Column) -> Column:
+    """Values of a predicted cell to set against a gold list; a text counts by its characters."""
+    return F.when(pred.kind == "list", pred.xs).when(pred.s != "", F.split(pred.s, ""))
+
+
 def _outcome(tp: int | Column, fp: int | Column, fn: int | Column) -> Column:
     as_int = lambda v: (F.lit(v) if isinstance(v, int) else v).cast("int")
     return F.struct(as_int(tp).alias("tp"), as_int(fp).alias("fp"), as_int(fn).alias("fn"))
@@ -79,7 +84,7 @@ def field_outcomes(aligned: DataFrame, keys: list[str], threshold: float = MATCH
         "ratio", string_ratio(F.when(is_open, F.col("g")), F.when(is_open, F.col("p")))
     )
     outcome = (
-        F.when(listed, _list_counts(F.col("gold.xs"), F.col("pred.xs")))
+        F.when(listed, _list_counts(F.col("gold.xs"), _as_values(F.col("pred"))))
         .when(textual & (F.col("g") == ""), _outcome(0, 0, 0))
         .when(F.col("p") == "", _outcome(0, 0, 1))
         .when(~is_open | (F.col("ratio") >= threshold), _outcome(1, 0, 0))
