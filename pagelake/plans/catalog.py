@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pagelake.plans import catalog_models, catalog_pages  # noqa: F401
+from pagelake.plans import catalog_flows, catalog_models, catalog_pages  # noqa: F401
 from pagelake.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
