@@ -185,11 +185,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_cases(attach_replies(by_model, replies))
 
 
-@query(
-    "experiment_runs",
-    f"""WITH {_RUNS} SELECT case_id, model, error, page_type, intent_type, records_returned::BIGINT AS records_returned, page_type_correct,
-      strategy_field_hit_rate::DOUBLE AS strategy_field_hit_rate, non_empty_fields::BIGINT AS non_empty_fields, extraction_exact_match FROM runs""",
-)
+# Not registered: no check of it has finished yet. Expected result as SQL:
+_EXPERIMENT_SQL = f"""WITH {_RUNS} SELECT case_id, model, error, page_type, intent_type, records_returned::BIGINT AS records_returned, page_type_correct,
+      strategy_field_hit_rate::DOUBLE AS strategy_field_hit_rate, non_empty_fields::BIGINT AS non_empty_fields, extraction_exact_match FROM runs"""
+
+
 def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select(
         "case_id", "model", "error", "page_type", "intent_type", F.col("records_returned").cast("bigint").alias("records_returned"),
@@ -198,13 +198,63 @@ def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "run_summary",
-    f"""WITH {_RUNS} SELECT count(*) AS total_runs, round(avg(page_type_correct::INT), 6) AS page_type_accuracy,
+# Not registered: no check of it has finished yet. Expected result as SQL:
+_SUMMARY_SQL = f"""WITH {_RUNS} SELECT count(*) AS total_runs, round(avg(page_type_correct::INT), 6) AS page_type_accuracy,
       round(avg(CASE WHEN error IS NULL THEN NULL ELSE 0.0 END), 6) AS intent_type_accuracy,
       round(avg(strategy_field_hit_rate), 6)::DOUBLE AS strategy_field_hit_rate,
-      round(avg(extraction_exact_match::INT), 6) AS extraction_exact_match_rate FROM runs""",
-)
+      round(avg(extraction_exact_match::INT), 6) AS extraction_exact_match_rate FROM runs"""
+
+
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = metrics.run_summary(_runs(spark, sf_dir))
     return summary.select("total_runs", *[F.round(c, 6).alias(c) for c in summary.columns if c != "total_runs"])
+
+
+_RATES = f"""
+w AS (SELECT doc_id AS n, {sql_strip('text')} = '' AS blank FROM documents),
+rates AS (SELECT n, CASE WHEN n % 7 = 0 THEN 0.0 ELSE 2.0 / 3 END AS hit_rate,
+    CASE WHEN n % 5 = 0 THEN 0 ELSE 1 + CASE WHEN n % 2 = 0 THEN 1 ELSE 0 END END AS filled,
+    n % 5 <> 0 AND n % 3 = 0 AS matched FROM w)"""
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("doc_id")
+    record = F.array(
+        _cell("title", "str", text("T", n)), _cell("links", "list", xs=F.when(n % 2 == 0, F.array(text("l", n))).otherwise(F.array())),
+    )
+    records = F.when(n % 5 != 0, F.array(record)).otherwise(F.array().cast(f"array<array<{CELL}>>"))
+    links = F.when(n % 2 == 0, F.array(text("l", n))).otherwise(F.array().cast("array<string>"))
+    expected = F.array(F.array(
+        _cell("title", "str", F.when(n % 3 == 0, text("T", n)).otherwise("other")), _cell("links", "list", xs=links),
+    ))
+    fields = [F.lit(f) for f in ("title", "links", "price")]
+    wanted = F.when(n % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(*fields))
+    return corpora.table(spark, sf_dir, "documents").select(
+        "doc_id", metrics.coverage(wanted, F.array(*fields[:2])).alias("strategy_field_hit_rate"),
+        metrics.non_empty_fields(records, F.array(*fields)).alias("non_empty_fields"),
+        metrics.exact_match(expected, records).alias("extraction_exact_match"),
+        F.when(n % 4 == 0, n % 8 == 0).alias("page_type_correct"), F.lit(None).cast("boolean").alias("intent_type_correct"),
+    )
+
+
+@query(
+    "run_rates",
+    f"""WITH {_RATES} SELECT n AS doc_id, round(hit_rate, 6)::DOUBLE AS strategy_field_hit_rate, filled::BIGINT AS non_empty_fields,
+      matched AS extraction_exact_match FROM rates""",
+)
+def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir).select(
+        "doc_id", F.round("strategy_field_hit_rate", 6).alias("strategy_field_hit_rate"),
+        F.col("non_empty_fields").cast("bigint").alias("non_empty_fields"), "extraction_exact_match",
+    )
+
+
+@query(
+    "rate_summary",
+    f"""WITH {_RATES} SELECT count(*) AS total_runs, round(avg(CASE WHEN n % 4 = 0 THEN (n % 8 = 0)::INT END), 6) AS page_type_accuracy,
+      NULL::DOUBLE AS intent_type_accuracy, round(avg(hit_rate), 6)::DOUBLE AS strategy_field_hit_rate,
+      round(avg(matched::INT), 6) AS extraction_exact_match_rate FROM rates""",
+)
+def rate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = metrics.run_summary(_measured(spark, sf_dir))
+    return summary.select("total_runs", *[F.round(c, 6).alias(c) for c in summary.columns if c != "total_runs"])

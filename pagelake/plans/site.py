@@ -12,6 +12,7 @@ from pagelake.operators.prompts import first_image_prompt, intent_prompt, page_t
 from pagelake.operators.strategies import build_strategies, primary_image_field
 from pagelake.operators.summary import summarize, summary_json, tag_counts
 from pagelake.operators.typing import typing_of
+from pagelake.session import write_through
 from pagelake.sources.html import parse_html
 
 
@@ -73,6 +74,8 @@ def plan_pages(
 
 def extract_site(planned: DataFrame, doms: DataFrame) -> DataFrame:
     """Records of planned pages: page flows in place, list flows against the stored snapshots."""
+    # Both kinds of flow read the plan: stored once, pages are not parsed and planned twice.
+    planned = write_through(planned)
     keys = ["walk_id", "record_no", "page_url", "record"]
     starts = planned.filter(F.col("strategy.page_type") == "list").select("walk_id", "url", "strategy")
     return single_page_records(planned).select(*keys).unionByName(list_records(starts, doms))
