@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,28 +27,35 @@ def get_spark(app_name: str = "pagelake", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; fall back to a temporary one in local mode only."""
-    context = spark.sparkContext
-    if context.getCheckpointDir():
-        return
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pagelake-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is named, a local master gets a folder below the warehouse; any other master is refused.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
+    return f"{base.rstrip('/')}/pagelake-{name}-{uuid.uuid4().hex}"
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder made by ``shared_folder``; a missing one is no error."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def write_through(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the checkpoint folder and read it back.
+def write_through(df: DataFrame, name: str = "step", folders: list[str] | None = None) -> DataFrame:
+    """Write ``df`` below the shared folder and read it back. This is an action: it runs ``df`` now.
 
-    This cuts the lineage, survives lost executors, and unlike ``checkpoint()`` keeps columns apart
+    It cuts the lineage, survives lost executors, and unlike ``checkpoint()`` keeps columns apart
     and sizes known, so later steps read only what they need and joins are planned on real sizes.
+    The folder's path is added to ``folders``, so that the caller can remove it once it is read.
     """
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/pagelake-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    if folders is not None:
+        folders.append(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
