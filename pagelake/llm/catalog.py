@@ -1,6 +1,9 @@
 """All queries of this subpackage."""
 
-from pagelake.llm import decontamination_queries  # noqa: F401
+from pagelake.llm import (  # noqa: F401
+    decontamination_queries,
+    token_files_queries,
+)
 from pagelake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
