@@ -3,6 +3,7 @@
 from pagelake.llm import (  # noqa: F401
     decontamination_queries,
     mixing_queries,
+    ngram_join_queries,
     token_files_queries,
 )
 from pagelake.llm.registry import ORACLES, QUERIES
