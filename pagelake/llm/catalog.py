@@ -2,6 +2,7 @@
 
 from pagelake.llm import (  # noqa: F401
     decontamination_queries,
+    language_queries,
     mixing_queries,
     ngram_join_queries,
     token_files_queries,
