@@ -6,6 +6,7 @@ from pagelake.llm import (  # noqa: F401
     line_quality_queries,
     mixing_queries,
     ngram_join_queries,
+    personal_data_queries,
     token_files_queries,
 )
 from pagelake.llm.registry import ORACLES, QUERIES
