@@ -7,6 +7,7 @@ from pagelake.llm import (  # noqa: F401
     mixing_queries,
     ngram_join_queries,
     personal_data_queries,
+    quality_rules_queries,
     secret_scan_queries,
     token_files_queries,
 )
