@@ -3,6 +3,7 @@
 from pagelake.llm import (  # noqa: F401
     decontamination_queries,
     language_queries,
+    license_scan_queries,
     line_quality_queries,
     mixing_queries,
     ngram_join_queries,
