@@ -113,38 +113,97 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
-def _second_pass(size: int, percent: int, shared):
-    """Per document its prefix: cheap shingles first, and whether a key is expensive."""
+def packed(hashes: np.ndarray, rows: np.ndarray) -> bytes:
+    """Sorted hashes with their rows (below 65,536) as bytes: steps of six bytes where they fit, else of eight."""
+    steps = np.diff(hashes, prepend=hashes[:1])
+    width = 6 if not len(steps) or steps.max() < 1 << 48 else 8
+    head = np.array([width, len(hashes)], "<u8").tobytes() + hashes[:1].tobytes()
+    return head + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + rows.astype("<u2").tobytes()
+
+
+def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, n = np.frombuffer(data, "<u8", 2).tolist()
+    steps = np.zeros((n, 8), np.uint8)
+    steps[:, :width] = np.frombuffer(data, np.uint8, n * width, 24).reshape(n, width)
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64) + np.frombuffer(data, "<u8", 1, 16)[0], np.frombuffer(data, "<u2", n, 24 + n * width)
+
+
+def _second_pass(size: int, bits: int, shared):
+    """Shingles with the documents that have them: expensive ones as rows of their own, with their estimated cost;
+    all others packed, one row for each batch and part of the hash space."""
+
+    def rows_of(bucket, ids, blob, number, key, cost) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(bucket, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(blob, pa.binary()), pa.array(number, pa.int64()),
+             pa.array(key, pa.int64()), pa.array(cost, pa.int64())], names=["bucket", "ids", "data", "id", "key", "cost"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
-        for batch in batches:
-            for first, sets, bounds in shingle_sets(batch.column(1), size):
-                cost = cost_classes(sets, sketch)
-                sizes = np.diff(bounds)
-                lengths = np.where(sizes > 0, prefix_length(sizes, percent), 0)
-                picked, hot = [], []
-                for low, high, p in zip(bounds[:-1].tolist(), bounds[1:].tolist(), lengths.tolist()):
-                    own, price = sets[low:high], cost[low:high]
-                    if price.any():
-                        order = np.argsort(price, kind="stable")[:p]
-                        picked.append(own[order])
-                        hot.append(price[order] > 0)
-                    else:
-                        picked.append(own[:p])
-                        hot.append(np.zeros(len(picked[-1]), bool))
-                keys = np.concatenate(picked) if picked else np.zeros(0, np.uint64)
-                edges = pa.array(np.concatenate([[0], np.cumsum([len(p) for p in picked])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, len(sizes)),
-                    pa.array(_row_sums(mixed(sets), bounds).view(np.int64)), pa.array(_row_sums(mixed(sets ^ SECOND), bounds).view(np.int64)),
-                    pa.ListArray.from_arrays(edges, pa.array(keys.view(np.int64))),
-                    pa.ListArray.from_arrays(edges, pa.array(np.concatenate(hot) if hot else np.zeros(0, bool))),
-                ], names=["id", "f1", "f2", "keys", "hot"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1 << 16):
+                batch = whole.slice(start, 1 << 16)
+                ids = np.asarray(batch.column(0))
+                hashes, rows = [], []
+                for first, sets, bounds in shingle_sets(batch.column(1), size):
+                    row = np.repeat(np.arange(first, first + len(bounds) - 1), np.diff(bounds))
+                    cost = cost_classes(sets, sketch)
+                    hot = cost > 0
+                    if hot.any():
+                        number = ids[row[hot]]
+                        n = len(number)
+                        bucket = (mixed(number.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+                        yield rows_of(bucket, [None] * n, [None] * n, number, sets[hot].view(np.int64), cost[hot])
+                    hashes.append(sets[~hot])
+                    rows.append(row[~hot])
+                if not hashes:
+                    continue
+                hashes, rows = np.concatenate(hashes), np.concatenate(rows)
+                order = np.argsort(hashes, kind="stable")
+                hashes, rows = hashes[order], rows[order]
+                edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
+                out = []
+                for bucket, (low, high) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(hashes)])):
+                    if low < high:
+                        own, place = np.unique(rows[low:high], return_inverse=True)
+                        out.append((bucket, ids[own], packed(hashes[low:high], place)))
+                for at in range(0, len(out), 64):
+                    part = out[at : at + 64]
+                    none = [None] * len(part)
+                    yield rows_of([b for b, _, _ in part], [i for _, i, _ in part], [d for _, _, d in part], none, none, none)
 
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that two documents or more have: (id, key, cost, whether only estimated). Holds one partition's shingles."""
+    hashes, numbers, names = [], [], ["id", "key", "cost", "hot"]
+    for batch in batches:
+        hot = np.asarray(batch.column(2).is_null())
+        if hot.any():
+            part = batch.filter(pa.array(hot))
+            yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), part.column(5), pa.array(np.ones(part.num_rows, bool))], names=names)
+        for ids, data in zip(batch.column(1), batch.column(2)):
+            if data.is_valid:
+                h, row = unpacked(data.as_py())
+                hashes.append(h)
+                numbers.append(np.asarray(ids.values)[row])
+    if not hashes:
+        return
+    h, number = np.concatenate(hashes), np.concatenate(numbers)
+    hashes.clear()
+    numbers.clear()
+    order = np.argsort(h, kind="stable")
+    h, number = h[order], number[order]
+    edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
+    times = np.diff(edges)
+    keep = np.repeat(times > 1, times)
+    h, number, df = h[keep].view(np.int64), number[keep], np.repeat(times, times)[keep]
+    for at in range(0, len(h), 1 << 18):
+        part = slice(at, at + (1 << 18))
+        yield pa.RecordBatch.from_arrays([pa.array(number[part]), pa.array(h[part]), pa.array(df[part], pa.int64()), pa.array(np.zeros(len(h[part]), bool))], names=names)
+
+
 def _tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, salt, place): ties of each list's members to its first; of expensive keys also the first itself."""
     last, pivot, seen = None, None, set()
@@ -296,11 +355,21 @@ def similar_components(
     shared = spark.sparkContext.broadcast(sketch.reshape(2, -1))
 
     classes = write_through(members.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes", trash)
-    prefixes = source.mapInArrow(_second_pass(size, percent, shared), "id long, f1 long, f2 long, keys array<long>, hot array<boolean>").where("size(keys) > 0")
-    kept = prefixes.join(classes.select(F.col("rep"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi")
-    keys = kept.select("id", F.xxhash64("id").alias("place"), F.explode(F.arrays_zip("keys", "hot")).alias("k")).select(
-        F.col("k.keys").alias("key"), F.when(F.col("k.hot"), F.pmod("place", F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.col("k.hot").alias("hot"), "place", "id",
+    # Two passes may read rows of one id apart, so a class's document is named by its id and its fingerprint.
+    named_once = members.join(classes.select(F.col("rep"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi").select("id").distinct()
+    chosen = source.join(named_once, "id", "left_semi")
+    bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    postings = (
+        chosen.mapInArrow(_second_pass(size, bits, shared), "bucket int, ids array<long>, data binary, id long, key long, cost long")
+        .repartition(1 << bits, "bucket").mapInArrow(_repeated, "id long, key long, cost long, hot boolean")
     )
+    # Cheapest first: shingles of one document alone, which tie nothing, then the repeated ones by their cost.
+    listed = postings.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("hot", "cost", "key"))).alias("repeated"))
+    sizes = classes.groupBy(F.col("rep")).agg(F.max("n").alias("n"))
+    taken = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("repeated"))
+    keys = listed.join(sizes, F.col("id") == F.col("rep")).withColumn("taken", taken.cast("int")).where("taken > 0").select(
+        "id", F.xxhash64("id").alias("place"), F.explode(F.slice("repeated", 1, F.col("taken"))).alias("k"),
+    ).select(F.col("k.key").alias("key"), F.when(F.col("k.hot"), F.pmod("place", F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.col("k.hot").alias("hot"), "place", "id")
     ties = write_through(
         keys.repartition("key", "salt").sortWithinPartitions("key", "salt", "place").mapInArrow(_tied, "a long, b long, key long"), "ties", trash
     )

@@ -57,7 +57,7 @@ def corpus(seed, n=260):
 
 def test_components_equal_brute_force(spark):
     rows = corpus(1)
-    docs = spark.createDataFrame([(d, t, "x", 3) for d, t in rows], "doc_id long, text string, n long, label int").repartition(5)
+    docs = spark.createDataFrame([(d, t, 5, "x") for d, t in rows], "doc_id long, text string, n long, label string").repartition(5)
     assert sorted(map(tuple, similar_components(docs).collect())) == brute(rows)
     # Groups that are dealt out as pairs of small blocks give the same.
     assert sorted(map(tuple, similar_components(docs, block_docs=7).collect())) == brute(rows)
