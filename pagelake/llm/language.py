@@ -179,8 +179,8 @@ def learned_model(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", l
     return fit_language_model([r["label"] for r in got], [r["words"] for r in got])
 
 
-def identified(docs: DataFrame, model: LanguageModel | None, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """doc_id, ``keep``, lang_pred, score and languages (those with a tenth of the words or more) of every row.
+def identified(docs: DataFrame, model: LanguageModel | None, *, doc_id: str = "doc_id", text: str = "text", keep: list[str] = (), keep_text: bool = False) -> DataFrame:
+    """doc_id, ``keep`` (and the text, as ``text``, on demand), lang_pred, score and languages (those with a tenth of the words or more) of every row.
 
     ``und`` with score 0 where the text is null or has no letter, or where nothing could be learned. Repeated rows
     are repeated; other columns are not read.
@@ -188,8 +188,8 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, doc_id: str = "d
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text"), *[F.col(c) for c in keep])
-    passed = [c for c in source.columns if c != "__text"]
-    fields = [f.simpleString().replace(":", " ", 1) for f in source.schema if f.name != "__text"]
+    passed = [c for c in source.columns if keep_text or c != "__text"]
+    fields = [f.simpleString().replace(":", " ", 1) for f in source.schema if keep_text or f.name != "__text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -209,11 +209,12 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, doc_id: str = "d
                 score = np.clip(mix[np.arange(n), best], 0, 1)
                 pred = [names[k] if s > 0 else UNKNOWN for k, s in zip(best.tolist(), score.tolist())]
                 several = [",".join(names[k] for k in np.flatnonzero(row >= 0.1)) for row in mix]
-                columns = [part.column(k) for k in range(batch.num_columns) if k != 1]
+                columns = [part.column(k) for k in range(batch.num_columns) if keep_text or k != 1]
                 yield pa.RecordBatch.from_arrays(
                     [*columns, pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(several, pa.string())],
                     names=[*passed, "lang_pred", "score", "languages"],
                 )
                 at = stop
 
-    return source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "languages string"]))
+    rows = source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "languages string"]))
+    return rows.withColumnRenamed("__text", "text") if keep_text else rows
