@@ -85,7 +85,7 @@ def intent_of(task: Column | str, reply: Column | None = None) -> Column:
             item_limit(task).alias("max_items"),
         )
 
-    return let(F.coalesce(json_object(reply), F.lit("{}")), combine)
+    return let(json_object(reply), combine)
 
 
 def parse_intents(tasks: DataFrame, task: str = "task", reply: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.functions.lenient_json import (
-    boolean_value, int_map, json_object, kind_of, member, natural_int, string_map,
+    boolean_value, int_map, json_object, kind_of, member, member_object, natural_int, string_map,
     string_value, text_of,
 )
 from pagelake.functions.text import empty_to_null, let, map_lookup, strip
@@ -121,9 +121,9 @@ def strategy_of(
         methods = F.map_from_arrays(
             known, F.transform(known, lambda f: F.when(f == "links", "attr:href").otherwise("css"))
         )
-        nested = F.get_json_object(p, "$.fallbacks")
+        nested = member_object(p, "fallbacks")
         fallbacks = F.when(
-            (kind_of(member(p, "fallbacks")) == "object") & member(nested, "field_selectors").isNotNull(),
+            (kind_of(nested.value) == "object") & member(nested, "field_selectors").isNotNull(),
             string_map(nested, "field_selectors"),
         ).otherwise(_text_map(FALLBACK_SELECTORS))
         limits = int_map(p, "field_limits")
@@ -154,7 +154,7 @@ def strategy_of(
             fallbacks.alias("fallback_selectors"),
         )
 
-    return let(F.coalesce(json_object(reply), F.lit("{}")), merged)
+    return let(json_object(reply), merged)
 
 
 def build_strategies(

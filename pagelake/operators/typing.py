@@ -23,7 +23,7 @@ def valid_page_type(value: Column) -> Column:
 def typing_of(reply: Column) -> Column:
     """Struct (page_type, confidence, suggested_fields) read from a reply; a missing reply counts as empty."""
     return let(
-        F.coalesce(json_object(reply), F.lit("{}")),
+        json_object(reply),
         lambda p: F.struct(
             valid_page_type(string_value(member(p, "page_type"))).alias("page_type"),
             unit_float(member(p, "confidence")).alias("confidence"),

@@ -131,7 +131,7 @@ def json_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(text("object in a list [", props, "]"))
     )
     return corpora.table(spark, sf_dir, "events").select(
-        "event_id", json_payload(reply).alias("payload"), (json_object(reply) != "{}").alias("is_object")
+        "event_id", json_payload(reply).alias("payload"), (json_object(reply).text != "{}").alias("is_object")
     )
 
 
