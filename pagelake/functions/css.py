@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import as_col, let
-from pagelake.sources.html import TEXT_OWNERS
+from pagelake.sources.html import TEXT_OWNERS, ancestors
 
 _IDENT = r"[\w\-\x{80}-\x{10FFFF}]+"
 _VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\]\s\"']+)"
@@ -55,7 +55,7 @@ def _parse_test(raw: Column) -> Column:
         F.when(first == "[", attr_op).when(first == "#", "=").otherwise("").alias("op"),
         F.when(first == "[", attr_value)
         .when(first == ":", contained)
-        .when(first.isin(".", "#"), F.substring(raw, 2, 1_000_000))
+        .when(first.isin(".", "#"), F.substr(raw, F.lit(2)))
         .otherwise(F.lower(raw))
         .alias("value"),
     )
@@ -165,7 +165,7 @@ def _ancestors_pass(nodes: Column, texts: Column, node: Column, steps: Column) -
 
         return let(let(F.get(nodes, position), at), combine)
 
-    end = F.aggregate(node.anc, start, advance)
+    end = F.aggregate(ancestors(nodes, node), start, advance)
     last_is_child = F.element_at(steps, -1).child
     return let(
         end,

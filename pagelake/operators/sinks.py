@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.operators.extract import pick
+from pagelake.session import remove_folder, write_through
 
 # Per database the URL prefix, default port and driver. Spark's own dialects turn the
 # string columns written here into TEXT (SQLite, Postgres) or LONGTEXT (MySQL).
@@ -47,7 +48,10 @@ def column_union(records: DataFrame, order: list[str], record: str = "record") -
 
 
 def column_names(records: DataFrame, order: list[str], record: str = "record") -> list[str]:
-    """Field names in first-seen order. Only the names come to the driver: they are a table's columns."""
+    """Field names in first-seen order. Only the names come to the driver: they are a table's columns.
+
+    Names come from model replies, so this suits tables of records that were planned together. A caller that
+    knows the columns passes them to the writers instead."""
     return [row.field for row in column_union(records, order, record).orderBy("first_seen").select("field").collect()]
 
 
@@ -71,14 +75,26 @@ def write_json(records: DataFrame, path: str, fields: list[str], record: str = "
     records.select(*[one(f) for f in fields]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def write_csv(records: DataFrame, path: str, order: list[str], record: str = "record") -> bool:
+def _named(records: DataFrame, order: list[str], fields: list[str] | None, record: str, folders: list[str]) -> tuple[DataFrame, list[str]]:
+    """The records and their field names. Unless the caller knows the names, the records are written once and read for both."""
+    if fields is not None:
+        return records, fields
+    records = write_through(records.select(*order, record), "records", folders)
+    return records, column_names(records, order, record)
+
+
+def write_csv(records: DataFrame, path: str, order: list[str], record: str = "record", fields: list[str] | None = None) -> bool:
     """CSV files with a header over the union of fields; nothing is written for no records."""
-    fields = column_names(records, order, record)
-    if not fields:
-        return False
-    wide = to_wide(records, fields, record=record)
+    records, fields = _named(records, order, fields, record, folders := [])
+    if fields:
+        _write_csv(to_wide(records, fields, record=record), path)
+    for folder in folders:
+        remove_folder(records.sparkSession, folder)
+    return bool(fields)
+
+
+def _write_csv(wide: DataFrame, path: str) -> None:
     wide.write.mode("overwrite").option("header", True).option("emptyValue", "").option("escape", '"').csv(path)
-    return True
 
 
 def jdbc_options(
@@ -106,20 +122,21 @@ def quote_name(kind: str, name: str) -> str:
 
 def write_jdbc(
     records: DataFrame, options: dict[str, str], order: list[str], record: str = "record",
-    connections: int = 8,
+    connections: int = 8, fields: list[str] | None = None,
 ) -> bool:
     """Append to a table, created when missing with text columns; nothing happens for no records.
 
     A table that lacks a new column makes the write fail, as its schema never changes. Each task
     commits its own rows: write to a staging table where all or nothing is needed.
     """
-    fields = column_names(records, order, record)
-    if not fields:
-        return False
-    wide = to_wide(records, fields, record=record)
-    # Databases bound the writers they take; coalesce merges tasks without a shuffle.
-    wide.coalesce(connections).write.format("jdbc").options(**options).mode("append").save()
-    return True
+    records, fields = _named(records, order, fields, record, folders := [])
+    if fields:
+        # Databases bound the writers they take. The rows are written first, so that only the writing has so few tasks.
+        wide = write_through(to_wide(records, fields, record=record), "wide", folders)
+        wide.coalesce(connections).write.format("jdbc").options(**options).mode("append").save()
+    for folder in folders:
+        remove_folder(records.sparkSession, folder)
+    return bool(fields)
 
 
 def write_run_document(runs: DataFrame, summary: DataFrame, path: str) -> None:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.css import attr, node_text
 from pagelake.functions.text import let, strip
+from pagelake.sources.html import ancestors
 
 NODES, TEXTS = "nodes", "texts"
 
@@ -131,7 +132,7 @@ def structure_hints() -> Column:
 
 def ancestor_chain(node: Column) -> Column:
     """Nearest ancestors first, html and body left out."""
-    names = F.transform(F.reverse(node.anc), lambda i: F.get(F.col(NODES), i).tag)
+    names = F.transform(F.reverse(ancestors(F.col(NODES), node)), lambda i: F.get(F.col(NODES), i).tag)
     return F.slice(F.filter(names, lambda tag: ~tag.isin("html", "body")), 1, MAX_CHAIN)
 
 
@@ -153,7 +154,7 @@ def image_hints() -> Column:
             lambda c: found(tagged(below(nodes, c), ["img"]), lambda img: c.i),
         )
     )
-    anywhere = found(tagged(nodes, ["img"]), lambda img: F.element_at(img.anc, -1))
+    anywhere = found(tagged(nodes, ["img"]), lambda img: F.element_at(ancestors(nodes, img), -1))
     none = F.array().cast("array<struct<src:string,img:int,parent:int>>")
     candidates = let(inside, lambda xs: F.when(F.size(xs) > 0, xs).otherwise(anywhere))
     first_per_src = F.aggregate(

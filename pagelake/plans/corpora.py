@@ -17,12 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_pages(spark, f"{sf_dir}/pages.parquet")
+    return read_pages(spark, f"{sf_dir}/pages.parquet", asked_partitions(spark))
+
+
+def asked_partitions(spark: SparkSession) -> int | None:
+    """Spark's own ``spark.sql.files.minPartitionNum``, where the session sets it: the driver tables are single row groups."""
+    asked = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    return int(asked) if asked else None
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Derived HTML is made from few small splits; spread it so that all cores parse."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """Dealt out to as many partitions as the session asks for; left as scanned where it asks for none."""
+    asked = asked_partitions(df.sparkSession)
+    return df.repartition(asked) if asked else df
 
 
 def escaped(text: Column) -> Column:

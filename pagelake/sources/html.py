@@ -3,8 +3,9 @@
 The tolerant HTML reading is the one step here that built-in functions cannot express, so it runs
 in ``mapInArrow``. Everything it returns is plain columns: ``texts`` holds the stripped text runs
 of the page in order and ``nodes`` the elements in document order. A node's text is a slice of
-``texts`` (``t0`` to ``t1``) and its ancestors are positions in ``nodes`` (``anc``), so both stay
-linear in the page and every later step is a Column expression over the same row.
+``texts`` (``t0`` to ``t1``) and its ancestors are positions in ``nodes``: listed in ``anc`` down to
+``LISTED_DEPTH``, and below it those whose descendants reach past the node. So a page of any depth
+takes memory in proportion to its elements, and every later step is a Column expression over the same row.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NODE_TYPE = T.StructType(
@@ -27,7 +29,7 @@ NODE_TYPE = T.StructType(
         T.StructField("noise", T.BooleanType()),  # inside script, style, noscript, iframe, svg
         T.StructField("t0", T.IntegerType()),
         T.StructField("t1", T.IntegerType()),
-        T.StructField("anc", T.ArrayType(T.IntegerType())),  # ancestors, outermost first
+        T.StructField("anc", T.ArrayType(T.IntegerType())),  # ancestors, outermost first; NULL when too deep
     ]
 )
 TEXT_TYPE = T.StructType(
@@ -77,7 +79,7 @@ END_RANK = {
     "table": 190, "head": 200, "body": 200, "html": 220,
 }
 DEFAULT_RANK = 100
-MAX_DEPTH = 256  # deeper elements are kept, attached at this depth
+LISTED_DEPTH = 256  # deeper elements leave ``anc`` NULL; ``ancestors`` finds theirs from ``last``
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -260,8 +262,6 @@ class _Reader:
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         out = self.out
-        if len(self.names) >= MAX_DEPTH:
-            self.close_to(MAX_DEPTH - 1)
         node = len(out.tag) - self.node_base
         if tag in NOISE:
             self.noise_depth += 1
@@ -276,7 +276,10 @@ class _Reader:
         out.keys.extend(attrs.keys())
         out.values.extend(attrs.values())
         out.attr_offsets.append(len(out.keys))
-        out.anc.extend(self.ids)
+        if len(self.ids) <= LISTED_DEPTH:
+            out.anc.extend(self.ids)
+        else:
+            out.anc_offsets[-1] = None
         out.anc_offsets.append(len(out.anc))
         self.names.append(tag)
         self.ids.append(node)
@@ -296,6 +299,12 @@ class _Reader:
                 self.owners.pop()
 
 
+def ancestors(nodes: Column, node: Column) -> Column:
+    """Positions of a node's ancestors, outermost first."""
+    above = F.filter(F.slice(nodes, F.lit(1), node.i), lambda other: other["last"] >= node.i)
+    return F.coalesce(node.anc, F.transform(above, lambda other: other.i))
+
+
 # Nodes per output batch; a single larger page still becomes one batch.
 _NODES_PER_BATCH = 100_000
 

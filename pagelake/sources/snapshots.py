@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.functions.text import as_col, count_occurrences, empty_to_null, let, strip
+from pagelake.functions.text import as_col, count_occurrences, let, strip
 from pagelake.functions.urls import final_or_requested, request_url
 
 # Capture kinds and the limits of the rendering check.
@@ -17,24 +17,28 @@ TEXT_BLOCK_MARKS = ["<p", "<article", "<section", "<li"]
 MANY_SCRIPTS = 15
 MANY_VARS = 50
 FEW_BLOCKS = 3
+OWN_REPLACEMENT = "\ue000\ufdd0\ue001"
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Stored pages. A scan with fewer splits than cores is spread, since parsing is the costly step."""
+def read_pages(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """Stored pages, as the scan splits them.
+
+    A row group is one split at least. Where a store has a few large ones, the caller may name ``partitions``
+    to deal the pages out to; that moves all HTML once.
+    """
     pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    # A bare scan: asking for its splits plans it and runs nothing.
-    if pages.rdd.getNumPartitions() < cores:
-        pages = pages.repartition(cores)
-    return pages
+    return pages.repartition(partitions) if partitions else pages
 
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """Saved ``.html`` files as (path, html); bytes that are not UTF-8 are left out."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").load(path)
-    # A cast never fails on malformed bytes; the replacement characters it may leave are dropped.
-    text = F.make_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", F.replace(text, F.lit("\ufffd"), F.lit("")).alias("html"))
+    raw = F.col("content").cast("string")
+    # A cast never fails on malformed bytes, and repairing puts U+FFFD in their place. Those are dropped, not the
+    # ones the file has itself, which private characters stand for meanwhile.
+    kept = F.replace(raw, F.lit("\ufffd"), F.lit(OWN_REPLACEMENT))
+    repaired = F.replace(F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit("")), F.lit(OWN_REPLACEMENT), F.lit("\ufffd"))
+    return files.select("path", F.when(F.is_valid_utf8(raw), raw).otherwise(repaired).alias("html"))
 
 
 def needs_render(html: Column | str) -> Column:
@@ -99,16 +103,24 @@ def capture_rank(
 def choose_snapshots(
     captures: DataFrame, backends: list[str] | None = None, auto_render: bool = True
 ) -> DataFrame:
-    """One snapshot per requested URL out of its captures (capture_id, requested_url, final_url, html, renderer).
+    """One snapshot per request out of its captures (capture_id, requested_url, final_url, html, renderer).
+
+    Captures with a ``status`` go through the status rules first; rejected ones cannot be chosen.
 
     The choice aggregates narrow rows only (URL, rank, id), combined before the shuffle, so a URL
     with very many captures costs one row per map task; HTML is moved for the winners alone.
     """
+    if "status" in captures.columns and "rejected" not in captures.columns:
+        captures = apply_status(captures)
+    if "rejected" in captures.columns:
+        captures = captures.where(~F.col("rejected"))
     last_static = len(RENDER_BACKENDS if backends is None else backends) + 1
     ranked = captures.withColumn(
         "rank", capture_rank(F.coalesce("html", F.lit("")), F.col("renderer"), backends, auto_render)
     ).filter(F.col("rank").isNotNull())
-    best = ranked.groupBy("requested_url").agg(F.min(F.struct("rank", "capture_id")).alias("best"))
+    # Spellings of one request compete with each other; of equal captures the newest (largest id) wins.
+    newest = (-F.col("capture_id")).alias("newest")
+    best = ranked.groupBy(request_url("requested_url").alias("_key")).agg(F.min(F.struct("rank", newest, "capture_id")).alias("best"))
     winners = best.select("best.capture_id", "best.rank")
     return (
         captures.join(winners, "capture_id")
@@ -132,13 +144,25 @@ def rejected_urls(captures: DataFrame, chosen: DataFrame) -> DataFrame:
     )
 
 
+def one_per_request(snapshots: DataFrame) -> DataFrame:
+    """(request_url, requested_url, final_url, html), one row per request however it is spelled and however often stored.
+
+    The row stored last wins where the table has ``stored_at``; else the largest by URL and content, so that reruns agree.
+    The grouping key is the one that later joins use, so they find the rows dealt out already.
+    """
+    order = ["stored_at"] if "stored_at" in snapshots.columns else []
+    page = F.struct(*order, "requested_url", "final_url", "html")
+    best = snapshots.groupBy(request_url("requested_url").alias("request_url")).agg(F.max(page).alias("page"))
+    return best.select("request_url", "page.requested_url", "page.final_url", "page.html")
+
+
 def with_snapshots(cases: DataFrame, snapshots: DataFrame, url: str = "url") -> DataFrame:
     """Cases with the stored page of their URL; ``html`` is NULL where none is stored.
 
     URLs meet in their requested form, so differently written but equal requests match.
     """
     keyed = cases.withColumn("_key", request_url(url))
-    stored = snapshots.select(request_url("requested_url").alias("_key"), "final_url", "html")
+    stored = one_per_request(snapshots).withColumnRenamed("request_url", "_key")
     return keyed.join(stored, "_key", "left").drop("_key")
 
 
@@ -150,10 +174,5 @@ def to_fetch(cases: DataFrame, snapshots: DataFrame, url: str = "url") -> DataFr
 
 
 def store_snapshots(snapshots: DataFrame, path: str) -> None:
-    """Append newly fetched snapshots; nothing stored is rewritten."""
-    snapshots.write.mode("append").parquet(path)
-
-
-def base_url() -> Column:
-    """URL a snapshot's links are resolved against."""
-    return F.coalesce(empty_to_null(F.col("final_url")), F.col("requested_url"))
+    """Append newly fetched snapshots with the time of storing; nothing stored is rewritten, later ones win on reading."""
+    snapshots.withColumn("stored_at", F.current_timestamp()).write.mode("append").parquet(path)

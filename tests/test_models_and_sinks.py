@@ -16,7 +16,7 @@ REPLIES = {
 
 
 def test_lenient_json(spark):
-    rows = spark.createDataFrame([(r,) for r in REPLIES], "r string").select("r", json_payload("r").alias("p"), json_object("r").alias("o"))
+    rows = spark.createDataFrame([(r,) for r in REPLIES], "r string").select("r", json_payload("r").alias("p"), json_object("r").text.alias("o"))
     for row in rows.collect():
         expected = REPLIES[row.r]
         if row.r in ('[1],0]', '[1],"w":0} x]'):

@@ -11,7 +11,7 @@ from pagelake.functions.urls import request_url, resolve_url
 from pagelake.operators.extract import ALL_IMAGES, PRIMARY_IMAGE, Page, extract_fields, inline_records, literal_fields, pick
 from pagelake.operators.summary import summarize
 from pagelake.sources.html import parse_html
-from pagelake.sources.snapshots import choose_snapshots, needs_render, read_html_files
+from pagelake.sources.snapshots import choose_snapshots, needs_render, read_html_files, with_snapshots
 
 PAGE = (
     "<title>T</title><meta name=description content=' dd '><ul class='list'><li><p>a <b>x</b> y<a href='/q'>link</a>"
@@ -132,3 +132,44 @@ def test_html_files(spark, tmp_path):
     (tmp_path / "b.txt").write_text("no")
     rows = read_html_files(spark, str(tmp_path)).collect()
     assert [r.html for r in rows] == ["<p>é</p>"]
+
+
+def test_deep_pages_keep_their_text_and_ancestors(spark):
+    depth = 400
+    html = "<html><body>" + "".join(f'<div class="d{k}">' for k in range(depth)) + "deep<b>er</b>" + "</div>" * depth + "</body></html>"
+    dom = parse_html(spark.createDataFrame([(1, html)], "page_id int, html string"))
+    nodes, texts = F.col("nodes"), F.col("texts")
+
+    def texts_of(selector):
+        return F.transform(select_nodes(nodes, texts, parse_selector(F.lit(selector))), lambda n: node_text(texts, n))
+
+    row = dom.select(
+        texts_of(".d0").alias("outer"), texts_of(".d3 .d390 b").alias("below"), texts_of(".d398 > .d399 > b").alias("child"),
+        texts_of(".d390 .d3").alias("none"), F.size(nodes).alias("n"),
+    ).first()
+    assert row.outer == ["deeper"] and row.below == ["er"] and row.child == ["er"] and row.none == []
+    assert row.n == depth + 3
+
+
+def test_html_files_keep_their_own_replacement_characters(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes("x�y".encode())
+    (tmp_path / "b.html").write_bytes("x�y".encode() + b"\xff\xfez")
+    got = {r.path[-6:]: r.html for r in read_html_files(spark, str(tmp_path)).collect()}
+    assert got == {"a.html": "x�y", "b.html": "x�yz"}
+
+
+def test_repeated_and_respelled_snapshots_give_one_row(spark):
+    stored = spark.createDataFrame(
+        [("http://h/a b", None, "old", 1), ("http://h/a%20b", None, "new", 2), ("http://h/a b", None, "older", 0), ("http://h/c", None, "c", 1)],
+        "requested_url string, final_url string, html string, stored_at int",
+    )
+    cases = spark.createDataFrame([("http://h/a b",), ("http://h/none",)], "url string")
+    assert sorted((r.url, r.html) for r in with_snapshots(cases, stored).collect()) == [("http://h/a b", "new"), ("http://h/none", None)]
+
+
+def test_status_rules_come_before_the_choice(spark):
+    captures = spark.createDataFrame(
+        [(1, "http://h/a", None, "<html>404 " + "x" * 900 + "<p>", "static", 404), (2, "http://h/a", None, "<html>ok</html>", "playwright", 200)],
+        "capture_id long, requested_url string, final_url string, html string, renderer string, status int",
+    )
+    assert [r.capture_id for r in choose_snapshots(captures).collect()] == [2]
