@@ -17,6 +17,7 @@ from pagelake.operators.extract import (
 )
 from pagelake.session import write_through
 from pagelake.sources.html import parse_html
+from pagelake.sources.snapshots import one_per_request
 
 # List pages visited per start, and the gallery selector when a strategy has none.
 MAX_PAGE_VISITS = 5
@@ -26,8 +27,8 @@ RECORD = "array<struct<field:string,kind:string,s:string,xs:array<string>>>"
 
 def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
     """Snapshots as (url_key, base_url, has_html, texts, nodes): what the flows join against."""
-    keyed = snapshots.select(
-        request_url("requested_url").alias("url_key"),
+    keyed = one_per_request(snapshots).select(
+        F.col("request_url").alias("url_key"),
         final_or_requested(F.col("final_url"), F.col("requested_url")).alias("base_url"),
         (F.coalesce(F.length("html"), F.lit(0)) > 0).alias("has_html"),
         "html",
@@ -60,10 +61,9 @@ def page_record(strategy: Column, base_url: str = "base_url") -> Column:
 
 
 def single_page_records(rows: DataFrame) -> DataFrame:
-    """One record per row that has a page and is not a list; rows carry base_url, texts, nodes, strategy."""
-    kept = [c for c in rows.columns if c not in ("texts", "nodes", "has_html", "strategy", "base_url", "url_key")]
-    usable = rows.filter((F.col("strategy.page_type") != "list") & F.col("has_html"))
-    return usable.select(
+    """One record per row that has a page; rows carry base_url, has_html, texts, nodes, strategy."""
+    kept = [c for c in rows.columns if c not in ("texts", "nodes", "has_html", "strategy", "base_url", "url_key", "page_type")]
+    return rows.filter(F.col("has_html")).select(
         *kept, F.lit(0).alias("record_no"), F.col("base_url").alias("page_url"),
         page_record(F.col("strategy")).alias("record"),
     )
@@ -73,65 +73,84 @@ def follows_links(strategy: Column) -> Column:
     return sanitize_selector(strategy.item_link_selector) != ""
 
 
-def detail_targets(page: Page, strategy: Column) -> Column:
-    """Resolved targets of the first ``max_depth`` item links; a link without href uses up its place."""
-    quota = F.greatest(F.lit(1), F.coalesce(strategy.max_depth, F.lit(1)))
-    links = F.slice(page.select(parse_selector(strategy.item_link_selector)), 1, quota)
-    hrefs = F.filter(F.transform(links, lambda n: attr(n, "href")), lambda h: h.isNotNull() & (h != ""))
+def detail_targets(page: Page, links: Column, max_depth: Column) -> Column:
+    """Resolved targets of the first ``max_depth`` item links (a parsed selector); a link without href uses up its place."""
+    quota = F.greatest(F.lit(1), F.coalesce(max_depth, F.lit(1)))
+    found = F.slice(page.select(links), 1, quota)
+    hrefs = F.filter(F.transform(found, lambda n: attr(n, "href")), lambda h: h.isNotNull() & (h != ""))
     return F.transform(hrefs, lambda href: resolve_url(page.base, href))
 
 
-def next_page(page: Page, strategy: Column) -> Column:
-    return resolve_url(page.base, attr(page.first(parse_selector(strategy.pagination_selector)), "href"))
-
-
 def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def _visit(frontier: DataFrame, doms: DataFrame) -> DataFrame:
-    """Join the frontier with its pages and read items and next link from each."""
-    page, strategy = Page("base_url"), F.col("strategy")
-    inline_fields = fields_of(strategy).cast(f"array<{FIELD}>")
-    read = (
-        frontier.withColumn("url_key", request_url("target"))
-        .join(doms.drop("has_html"), "url_key")
+def walk_plans(starts: DataFrame) -> DataFrame:
+    """What a walk needs of its strategy, with the selectors parsed once: one narrow row per walk."""
+    strategy = F.col("strategy")
+    return starts.select(
+        "walk_id", "url", "strategy",
+        follows_links(strategy).alias("follows"), parse_selector(strategy.item_link_selector).alias("links"), strategy.max_depth.alias("max_depth"),
+        parse_selector(strategy.pagination_selector).alias("pagination"),
+        F.least(F.coalesce(_positive(strategy.max_pages), F.lit(1)), F.lit(MAX_PAGE_VISITS)).alias("max_pages"),
+        strategy.max_items.alias("max_items"), fields_of(strategy).cast(f"array<{FIELD}>").alias("inline_fields"),
+    )
+
+
+def _reading() -> list[Column]:
+    """What a visited page says; built once, as the same expressions serve every round."""
+    page = Page("base_url")
+    return [
+        F.when(F.col("follows"), detail_targets(page, F.col("links"), F.col("max_depth"))).alias("targets"),
+        F.when(~F.col("follows"), inline_records(page, F.col("inline_fields"), F.col("max_items"))).cast(f"array<{RECORD}>").alias("inline"),
+        resolve_url(page.base, attr(page.first(F.col("pagination")), "href")).alias("next_url"),
+    ]
+
+
+def _visit(frontier: DataFrame, plans: DataFrame, doms: DataFrame, reading: list[Column]) -> DataFrame:
+    """Join the frontier with its plans and pages; read items and next link from each page."""
+    return (
+        frontier.withColumn("url_key", request_url("target")).join(plans, "walk_id").join(doms.drop("has_html"), "url_key")
         .filter(~F.array_contains("visited", F.col("base_url")))
-        .select(
-            "walk_id", "strategy", "page_no", "n_before", "base_url",
-            F.array_append("visited", F.col("base_url")).alias("visited"),
-            F.when(follows_links(strategy), detail_targets(page, strategy)).alias("targets"),
-            F.when(~follows_links(strategy), inline_records(page, inline_fields, strategy.max_items))
-            .cast(f"array<{RECORD}>")
-            .alias("inline"),
-            next_page(page, strategy).alias("next_url"),
-        )
+        .select("walk_id", "page_no", "n_before", "base_url", F.array_append("visited", F.col("base_url")).alias("visited"), "max_pages", "max_items", *reading)
     )
-    found = F.greatest(F.coalesce(F.size("targets"), F.lit(0)), F.coalesce(F.size("inline"), F.lit(0)), F.lit(0))
-    return read.withColumn("n_after", F.col("n_before") + found)
 
 
-def walk_lists(starts: DataFrame, doms: DataFrame) -> DataFrame:
-    """Visit list pages along their next links, at most five per start, never one URL twice.
+def _stored_targets(visits: DataFrame, doms: DataFrame) -> DataFrame:
+    """Splits each visit's targets into ``stored`` and ``missed`` by whether their page is among the snapshots."""
+    links = visits.select("walk_id", F.posexplode("targets").alias("pos", "target")).withColumn("url_key", request_url("target"))
+    marked = links.join(doms.select("url_key", F.lit(True).alias("known")), "url_key", "left")
+    entry = F.struct("pos", "target")
+    # A page has at most max_depth targets.
+    split = marked.groupBy("walk_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("known"), entry))).alias("stored"),
+        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), entry))).alias("missed"),
+    )
+    none = F.array().cast("array<string>")
+    named = lambda c: F.coalesce(F.col(f"{c}.target"), none).alias(c)
+    return visits.drop("targets").join(split, "walk_id", "left").select("*", named("stored").alias("_s"), named("missed").alias("_m")).drop("stored", "missed").withColumnsRenamed({"_s": "stored", "_m": "missed"})
+
 
-    ``starts`` has walk_id, url and strategy. Each round joins only the walks still going, and is
-    written through so the next round does not repeat it. ``doms`` should be stored: every round
-    reads it. Result: one row per visited page.
+def walk_lists(plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Visit list pages along their next links, at most five per start, never one URL twice. An action: it runs the rounds.
+
+    Only targets whose page is stored count toward ``max_items``, since only they give records. Each round joins the
+    walks still going with their plan and page, and is written through so the next does not repeat it. ``plans`` and
+    ``doms`` should be stored: every round reads them. Result: one row per visited page.
     """
-    limit = F.least(F.coalesce(_positive(F.col("strategy.max_pages")), F.lit(1)), F.lit(MAX_PAGE_VISITS))
-    frontier = starts.select(
-        "walk_id", "strategy", F.col("url").alias("target"), F.lit(0).alias("page_no"), F.lit(0).alias("n_before"),
-        F.array().cast("array<string>").alias("visited"),
+    frontier = plans.select(
+        "walk_id", F.col("url").alias("target"), F.lit(0).alias("page_no"), F.lit(0).alias("n_before"), F.array().cast("array<string>").alias("visited"),
     )
-    visited_pages = None
+    reading, visited_pages = _reading(), None
     for _ in range(MAX_PAGE_VISITS):
-        visits = write_through(_visit(frontier, doms))
+        read = write_through(_visit(frontier, plans, doms, reading), "visit", folders)
+        found = F.size("stored") + F.coalesce(F.when(F.size("inline") > 0, F.size("inline")), F.lit(0))
+        visits = write_through(_stored_targets(read, doms).withColumn("n_after", F.col("n_before") + found), "visits", folders)
         visited_pages = visits if visited_pages is None else visited_pages.unionByName(visits)
-        full = F.coalesce(F.col("n_after") >= _positive(F.col("strategy.max_items")), F.lit(False))
-        going_on = ~full & (F.col("page_no") + 1 < limit) & F.col("next_url").isNotNull()
+        full = F.coalesce(F.col("n_after") >= _positive(F.col("max_items")), F.lit(False))
+        going_on = ~full & (F.col("page_no") + 1 < F.col("max_pages")) & F.col("next_url").isNotNull()
         frontier = visits.filter(going_on).select(
-            "walk_id", "strategy", F.col("next_url").alias("target"), (F.col("page_no") + 1).alias("page_no"),
-            F.col("n_after").alias("n_before"), "visited",
+            "walk_id", F.col("next_url").alias("target"), (F.col("page_no") + 1).alias("page_no"), F.col("n_after").alias("n_before"), "visited",
         )
         if frontier.isEmpty():
             break
@@ -139,59 +158,60 @@ def walk_lists(starts: DataFrame, doms: DataFrame) -> DataFrame:
 
 
 def _within_max_items(df: DataFrame) -> DataFrame:
-    cap = _positive(F.col("strategy.max_items"))
-    return df.filter(F.coalesce(F.col("record_no") < cap, F.lit(True)))
+    return df.filter(F.coalesce(F.col("record_no") < _positive(F.col("max_items")), F.lit(True)))
 
 
 def detail_links(visits: DataFrame) -> DataFrame:
-    """One row per item link to follow: walk_id, record_no, target, strategy."""
-    exploded = visits.select("walk_id", "strategy", "n_before", F.posexplode("targets").alias("pos", "target"))
-    return _within_max_items(exploded.withColumn("record_no", F.col("n_before") + F.col("pos")))
+    """One row per item link to follow: walk_id, record_no, target."""
+    exploded = visits.select("walk_id", "max_items", "n_before", F.posexplode("stored").alias("pos", "target"))
+    return _within_max_items(exploded.withColumn("record_no", F.col("n_before") + F.col("pos"))).select("walk_id", "record_no", "target")
 
 
-def follow_details(links: DataFrame, doms: DataFrame) -> DataFrame:
+def follow_details(links: DataFrame, plans: DataFrame, doms: DataFrame) -> DataFrame:
     """Records of the linked pages.
 
     Many links may lead to one page, so each (page, plan) pair is reduced to one row before the
     page is joined and read; the link rows are then matched with the finished records.
     """
     plan = F.struct(
-        planned_fields(F.col("strategy"), with_images=False).alias("fields"), F.col("strategy.max_items").alias("max_items")
-    )
-    keyed = links.select(
-        "walk_id", "record_no", request_url("target").alias("url_key"), plan.alias("plan"),
-        F.sha2(F.to_json(plan), 256).alias("plan_key"),
+        planned_fields(F.col("strategy"), with_images=False).cast(f"array<{FIELD}>").alias("fields"), F.col("max_items").alias("max_items")
     )
+    named = plans.select("walk_id", plan.alias("plan")).withColumn("plan_key", F.sha2(F.to_json("plan"), 256))
+    keyed = links.select("walk_id", "record_no", request_url("target").alias("url_key")).join(named, "walk_id")
     jobs = keyed.groupBy("url_key", "plan_key").agg(F.first("plan").alias("plan"))
     read = jobs.join(doms.drop("has_html"), "url_key").select(
         "url_key", "plan_key", F.col("base_url").alias("page_url"),
-        extract_record(
-            Page("base_url"), F.col("plan.fields").cast(f"array<{FIELD}>"), F.col("plan.max_items")
-        ).alias("record"),
+        extract_record(Page("base_url"), F.col("plan.fields"), F.col("plan.max_items")).alias("record"),
     )
     return keyed.select("walk_id", "record_no", "url_key", "plan_key").join(read, ["url_key", "plan_key"]).select(
         "walk_id", "record_no", "page_url", "record"
     )
 
 
-def missed_links(links: DataFrame, doms: DataFrame) -> DataFrame:
-    """Item links whose page is not among the snapshots."""
-    keyed = links.select("walk_id", "record_no", "target", request_url("target").alias("url_key"))
-    return keyed.join(doms.select("url_key"), "url_key", "left_anti").drop("url_key")
+def missed_links(visits: DataFrame) -> DataFrame:
+    """Item links whose page is not among the snapshots: walk_id, the list page and the target."""
+    return visits.select("walk_id", F.col("base_url").alias("page_url"), F.explode("missed").alias("target"))
 
 
-def list_records(starts: DataFrame, doms: DataFrame) -> DataFrame:
-    """Records of list starts: detail pages or inline rows; the page itself when a walk finds nothing."""
-    visits = walk_lists(starts, doms)
-    details = follow_details(detail_links(visits), doms)
+def rejected_starts(starts: DataFrame, doms: DataFrame) -> DataFrame:
+    """Starts that give no record because no page with content is stored for them (walk_id, url)."""
+    stored = doms.filter("has_html").select("url_key")
+    return starts.withColumn("url_key", request_url("url")).join(stored, "url_key", "left_anti").select("walk_id", "url")
+
+
+def list_records(starts: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Records of list starts: detail pages or inline rows; the page itself when a walk gives none."""
+    plans = write_through(walk_plans(starts), "plans", folders)
+    visits = walk_lists(plans, doms, folders)
+    details = follow_details(detail_links(visits), plans, doms)
     inline = _within_max_items(
         visits.select(
-            "walk_id", "strategy", "n_before", F.col("base_url").alias("page_url"),
+            "walk_id", "max_items", "n_before", F.col("base_url").alias("page_url"),
             F.posexplode("inline").alias("pos", "record"),
         ).withColumn("record_no", F.col("n_before") + F.col("pos"))
     ).select("walk_id", "record_no", "page_url", "record")
     fruitful = visits.filter(F.col("n_after") > 0).select("walk_id").distinct()
-    barren = starts.join(fruitful, "walk_id", "left_anti").withColumn("url_key", request_url("url"))
+    barren = plans.select("walk_id", "url", "strategy").join(fruitful, "walk_id", "left_anti").withColumn("url_key", request_url("url"))
     own = (
         barren.join(doms, "url_key")
         .filter("has_html")
@@ -201,12 +221,16 @@ def list_records(starts: DataFrame, doms: DataFrame) -> DataFrame:
     return details.unionByName(inline).unionByName(own)
 
 
-def run_flows(starts: DataFrame, doms: DataFrame) -> DataFrame:
-    """Records (walk_id, record_no, page_url, record) of every start (walk_id, url, strategy)."""
-    is_list = F.col("strategy.page_type") == "list"
+def run_flows(starts: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Records (walk_id, record_no, page_url, record) of every start (walk_id, url, page_type, strategy).
+
+    ``starts`` and ``doms`` should be stored. The page type is a column of its own: a filter on a part of a computed
+    strategy would be pushed below it and compute the strategy again.
+    """
+    is_list = F.col("page_type") == "list"
     single = starts.filter(~is_list).withColumn("url_key", request_url("url")).join(doms, "url_key")
     single = single_page_records(single).select("walk_id", "record_no", "page_url", "record")
-    return single.unionByName(list_records(starts.filter(is_list), doms))
+    return single.unionByName(list_records(starts.filter(is_list), doms, folders))
 
 
 def snapshot_records(strategy: Column, base_url: str = "base_url") -> Column:
@@ -219,7 +243,7 @@ def snapshot_records(strategy: Column, base_url: str = "base_url") -> Column:
     record = page_record(strategy, base_url)
     inline = inline_records(page, fields_of(strategy).cast(f"array<{FIELD}>"), strategy.max_items)
     listed = F.when(
-        follows_links(strategy), F.array_repeat(record, F.size(detail_targets(page, strategy)))
+        follows_links(strategy), F.array_repeat(record, F.size(detail_targets(page, parse_selector(strategy.item_link_selector), strategy.max_depth)))
     ).otherwise(inline.cast(f"array<{RECORD}>"))
     capped = F.slice(listed, 1, F.coalesce(cap, F.size(listed)))
     return F.when(

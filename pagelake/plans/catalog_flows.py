@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.urls import request_url
 from pagelake.operators.extract import pick
-from pagelake.operators.flows import detail_links, missed_links, parsed_snapshots, run_flows, walk_lists
+from pagelake.operators.flows import missed_links, parsed_snapshots, run_flows, walk_lists, walk_plans
 from pagelake.operators.sinks import cell_text
 from pagelake.operators.strategies import build_strategies
 from pagelake.plans import corpora, site
@@ -22,8 +22,11 @@ lists AS (SELECT DISTINCT o_orderkey // 10 AS list_no FROM orders),
 walks AS (SELECT list_no // 7 AS walk_id, list_no AS first_list, (list_no // 7) % 4 AS kind FROM lists WHERE list_no % 7 = 0),
 pages_of AS (SELECT w.walk_id, w.kind, l.list_no, l.list_no - w.first_list AS page_no FROM walks w JOIN lists l ON l.list_no // 7 = w.walk_id),
 sizes AS (SELECT o_orderkey // 10 AS list_no, count(*) AS n FROM orders GROUP BY 1),
-counted AS (SELECT p.*, CASE kind WHEN 3 THEN 0 WHEN 1 THEN n ELSE least(n, 8) END AS found
-  FROM pages_of p JOIN sizes s USING (list_no)),
+stored AS (SELECT list_no, count(*) AS n8 FROM (SELECT o_orderkey // 10 AS list_no, o_orderkey AS k,
+    row_number() OVER (PARTITION BY o_orderkey // 10 ORDER BY o_orderkey) AS place FROM orders)
+  WHERE place <= 8 AND k::VARCHAR NOT LIKE '%77' GROUP BY 1),
+counted AS (SELECT p.*, CASE kind WHEN 3 THEN 0 WHEN 1 THEN n ELSE coalesce(n8, 0) END AS found
+  FROM pages_of p JOIN sizes s USING (list_no) LEFT JOIN stored t USING (list_no)),
 running AS (SELECT *, sum(found) OVER (PARTITION BY walk_id ORDER BY page_no) - found AS n_before FROM counted),
 visits AS (SELECT * FROM running WHERE page_no < CASE kind WHEN 1 THEN 3 WHEN 3 THEN 2 ELSE 5 END AND (kind <> 2 OR n_before < 25))
 """
@@ -31,8 +34,10 @@ _ITEMS = f"""{_WALKS},
 items AS (SELECT v.*, o_orderkey AS k, o_orderstatus AS status,
     row_number() OVER (PARTITION BY v.walk_id, v.list_no ORDER BY o_orderkey) - 1 AS pos
   FROM visits v JOIN orders o ON o.o_orderkey // 10 = v.list_no),
-links AS (SELECT walk_id, n_before + pos AS record_no, k FROM items
-  WHERE kind IN (0, 2) AND pos < 8 AND (kind = 0 OR n_before + pos < 25))"""
+asked AS (SELECT * FROM items WHERE kind IN (0, 2) AND pos < 8),
+ranked AS (SELECT *, n_before + row_number() OVER (PARTITION BY walk_id, list_no ORDER BY pos) - 1 AS record_no FROM asked
+  WHERE k::VARCHAR NOT LIKE '%77'),
+links AS (SELECT walk_id, record_no, k FROM ranked WHERE kind = 0 OR record_no < 25)"""
 
 
 def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +52,11 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
             "tag_counts": F.lit(None).cast("map<string,int>"),
         }
     )
-    return build_strategies(work, "strategy_reply").select("walk_id", "url", "strategy")
+    return write_through(build_strategies(work, "strategy_reply").select("walk_id", "url", "page_type", "strategy"), "starts")
 
 
 def _doms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_through(parsed_snapshots(corpora.spread(corpora.shop_snapshots(spark, sf_dir))))
+    return write_through(parsed_snapshots(corpora.spread(corpora.shop_snapshots(spark, sf_dir))), "doms")
 
 
 @query(
@@ -60,7 +65,7 @@ def _doms(spark: SparkSession, sf_dir: str) -> DataFrame:
       found::BIGINT AS n_found FROM visits""",
 )
 def list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    visits = walk_lists(_starts(spark, sf_dir), _doms(spark, sf_dir))
+    visits = walk_lists(write_through(walk_plans(_starts(spark, sf_dir)), "plans"), _doms(spark, sf_dir))
     return visits.select(
         "walk_id", F.col("page_no").cast("bigint").alias("page_no"), F.col("base_url").alias("page_url"),
         (F.col("n_after") - F.col("n_before")).cast("bigint").alias("n_found"),
@@ -69,13 +74,12 @@ def list_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "missed_links",
-    f"""WITH {_ITEMS} SELECT walk_id, record_no::BIGINT AS record_no, 'http://shop.example.com/orders/' || k AS target
-      FROM links WHERE k::VARCHAR LIKE '%77'""",
+    f"""WITH {_ITEMS} SELECT walk_id, 'http://shop.example.com/list/' || list_no AS page_url, 'http://shop.example.com/orders/' || k AS target
+      FROM asked WHERE k::VARCHAR LIKE '%77'""",
 )
 def links_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    doms = _doms(spark, sf_dir)
-    missed = missed_links(detail_links(walk_lists(_starts(spark, sf_dir), doms)), doms)
-    return missed.select("walk_id", F.col("record_no").cast("bigint").alias("record_no"), "target")
+    plans = write_through(walk_plans(_starts(spark, sf_dir)), "plans")
+    return missed_links(walk_lists(plans, _doms(spark, sf_dir)))
 
 
 @query(
@@ -101,7 +105,6 @@ _DOC_IMAGES = """CASE WHEN doc_id % 2 = 0 THEN '["http://docs.example.com/a/' ||
   ELSE '["http://docs.example.com/d/' || doc_id || '.png","http://docs.example.com/' || lang || '/x' || (doc_id % 5) || '.png"]' END"""
 
 
-# Not registered: ran out of memory at sf0.01 and has never been checked. Expected result as SQL:
 _SITE_SQL = f"""WITH d AS (SELECT *, 'http://docs.example.com/' || lang || '/' || doc_id AS url FROM documents)
     SELECT doc_id AS walk_id, 0::BIGINT AS record_no, url AS page_url, 'title' AS field, 'Doc ' || doc_id AS value FROM d
     UNION ALL SELECT doc_id, 0, url, 'content', CASE WHEN doc_id % 2 = 0 THEN 'Doc ' || doc_id || {_DOC_TEXT} ELSE '' END
@@ -112,6 +115,7 @@ _SITE_SQL = f"""WITH d AS (SELECT *, 'http://docs.example.com/' || lang || '/' |
       ELSE 'http://docs.example.com/d/' || doc_id || '.png' END FROM d WHERE doc_id % 5 = 0"""
 
 
+@query("site_extraction", _SITE_SQL)
 def site_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage from stored page and task to records: news, gallery and default flow."""
     pages = corpora.document_pages(spark, sf_dir)
@@ -125,8 +129,7 @@ def site_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
         intent.alias("intent_reply"),
     )
     snapshots = pages.select(F.col("url").alias("requested_url"), F.lit("").alias("final_url"), "html")
-    planned = site.plan_pages(snapshots, assignments, "typing_reply", "intent_reply")
-    records = site.extract_site(planned, parsed_snapshots(snapshots))
+    records = site.extract_site(snapshots, assignments, typing_reply="typing_reply", intent_reply="intent_reply")
     return records.select("walk_id", "record_no", "page_url", F.explode("record").alias("c")).select(
         "walk_id", F.col("record_no").cast("bigint").alias("record_no"), "page_url",
         F.col("c.field").alias("field"), cell_text(F.col("c")).alias("value"),

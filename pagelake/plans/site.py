@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.functions.urls import final_or_requested, request_url
-from pagelake.operators.flows import list_records, single_page_records
+from pagelake.functions.urls import request_url
+from pagelake.operators.flows import parsed_snapshots, run_flows
 from pagelake.operators.intents import intent_of
 from pagelake.operators.prompts import first_image_prompt, intent_prompt, page_type_prompt, strategy_prompt
 from pagelake.operators.strategies import build_strategies, primary_image_field
 from pagelake.operators.summary import summarize, summary_json, tag_counts
 from pagelake.operators.typing import typing_of
 from pagelake.session import write_through
-from pagelake.sources.html import parse_html
 
 
 def page_prompts(doms: DataFrame, key: str = "page_id") -> DataFrame:
@@ -50,32 +49,25 @@ def planning_prompts(work: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def plan_pages(
-    snapshots: DataFrame, assignments: DataFrame, typing_reply: str | None = None,
+    doms: DataFrame, assignments: DataFrame, typing_reply: str | None = None,
     intent_reply: str | None = None, strategy_reply: str | None = None, image_replies: str | None = None,
 ) -> DataFrame:
-    """Parsed pages with a strategy per assignment (walk_id, url, task and optional reply columns)."""
+    """Starts (walk_id, url, page_type, strategy) of assignments (walk_id, url, task and optional reply columns).
+
+    ``doms`` are stored parsed snapshots. Of a page only its tag counts are needed here, so rows stay narrow, and
+    typing and intent are columns of their own before the strategy reads them.
+    """
     reply = lambda name: F.col(name) if name else F.lit(None).cast("string")
-    pages = parse_html(
-        snapshots.select(
-            request_url("requested_url").alias("url_key"),
-            final_or_requested(F.col("final_url"), F.col("requested_url")).alias("base_url"),
-            (F.coalesce(F.length("html"), F.lit(0)) > 0).alias("has_html"),
-            "html",
-        )
-    ).withColumn("tag_counts", tag_counts())
-    planned = (
-        assignments.withColumn("url_key", request_url("url"))
-        .join(pages, "url_key")
-        .withColumns({"typing": typing_of(reply(typing_reply)), "intent": intent_of("task", reply(intent_reply))})
-        .select("*", "typing.page_type", "typing.suggested_fields", "intent.requested_fields", "intent.max_items")
-    )
-    return build_strategies(planned, strategy_reply, image_replies)
+    counts = doms.select("url_key", tag_counts().alias("tag_counts"))
+    work = assignments.withColumns({"url_key": request_url("url"), "typing": typing_of(reply(typing_reply)), "intent": intent_of("task", reply(intent_reply))})
+    planned = work.join(counts, "url_key").select("*", "typing.page_type", "typing.suggested_fields", "intent.requested_fields", "intent.max_items")
+    return build_strategies(planned, strategy_reply, image_replies).select("walk_id", "url", "page_type", "strategy")
 
 
-def extract_site(planned: DataFrame, doms: DataFrame) -> DataFrame:
-    """Records of planned pages: page flows in place, list flows against the stored snapshots."""
-    # Both kinds of flow read the plan: stored once, pages are not parsed and planned twice.
-    planned = write_through(planned)
-    keys = ["walk_id", "record_no", "page_url", "record"]
-    starts = planned.filter(F.col("strategy.page_type") == "list").select("walk_id", "url", "strategy")
-    return single_page_records(planned).select(*keys).unionByName(list_records(starts, doms))
+def extract_site(snapshots: DataFrame, assignments: DataFrame, **replies: str) -> DataFrame:
+    """Records (walk_id, record_no, page_url, record) of assignments over snapshots: pages are parsed and planned once.
+
+    An action: parsed pages, plans and list rounds are written below the shared folder.
+    """
+    doms = write_through(parsed_snapshots(snapshots), "doms")
+    return run_flows(write_through(plan_pages(doms, assignments, **replies), "starts"), doms)
