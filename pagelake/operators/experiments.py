@@ -12,6 +12,7 @@ from pagelake.operators.metrics import coverage, exact_match, non_empty_fields
 from pagelake.operators.strategies import IMAGE_ATTEMPTS, build_strategies
 from pagelake.operators.summary import tag_counts
 from pagelake.operators.typing import typing_of, valid_page_type
+from pagelake.session import write_through
 from pagelake.sources.html import parse_html
 
 RECORDS = "array<array<struct<field:string,kind:string,s:string,xs:array<string>>>>"
@@ -62,7 +63,7 @@ def run_cases(work: DataFrame) -> DataFrame:
     ``work``: case_id, model, site, url, task, html (NULL if not fetched), html_path, timings,
     expected_page_type, expected_intent_type, expected_fields, expected_records (cells),
     typing_reply, intent_reply, strategy_reply, image_replies. Everything happens in the row of
-    the case, so apart from the joins that built ``work`` there is no shuffle.
+    the case, so apart from the joins that built ``work`` there is no shuffle. An action: plans are written once.
     """
     work = work.withColumn("html_used", F.coalesce(empty_to_null(F.col("html_path")), F.col("url")))
     has_page = F.coalesce(strip("html") != "", F.lit(False))
@@ -89,7 +90,8 @@ def run_cases(work: DataFrame) -> DataFrame:
             "max_items": F.col("intent.max_items"),
         }
     )
-    planned = build_strategies(staged, "strategy_reply", "image_replies")
+    # Written once: every part of a strategy is read several times below.
+    planned = write_through(build_strategies(staged, "strategy_reply", "image_replies"), "planned")
     executed = planned.withColumn("records", snapshot_records(F.col("strategy")).cast(RECORDS))
     strategy_fields = F.map_keys("strategy.field_selectors")
     done = executed.select(

@@ -16,9 +16,13 @@ FUZZY_FIELDS = ["content", "title", "sub_comments"]
 
 
 def latest_gold(gold: DataFrame) -> DataFrame:
-    """One gold run per (site, url): the last loaded one."""
-    last = gold.groupBy("site", "url").agg(F.max("load_no").alias("load_no"))
-    return gold.join(last, ["site", "url", "load_no"], "left_semi")
+    """One gold run (site, url, page_type, fields) per (site, url): the last loaded one, by file where there are several.
+
+    One aggregate on the key that the join with the runs uses too, so the rows are dealt out once.
+    """
+    order = F.struct(*[c for c in ("file", "load_no") if c in gold.columns])
+    last = gold.groupBy("site", "url").agg(F.max_by(F.struct("page_type", "fields"), order).alias("gold"))
+    return last.select("site", "url", "gold.page_type", "gold.fields")
 
 
 def align_with_gold(runs: DataFrame, gold: DataFrame) -> DataFrame:
@@ -64,10 +68,16 @@ def _outcome(tp: int | Column, fp: int | Column, fn: int | Column) -> Column:
 def field_outcomes(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """One row per run and gold field: keys, field, tp, fp, fn.
 
-    Equality, emptiness and containment are decided by Columns; only pairs they leave open carry
-    text to the similarity function.
+    Equality, emptiness, containment and lengths too different for the threshold are decided by Columns; only pairs
+    they leave open carry text to the similarity function.
     """
-    pairs = aligned.select(*keys, "pred_fields", F.explode("gold_fields").alias("gold")).select(
+    return _judged_pairs(aligned, keys, threshold).where(F.col("field").isNotNull()).select(*keys, "field", "o.*")
+
+
+def _judged_pairs(aligned: DataFrame, keys: list[str], threshold: float, carried: list[str] = ()) -> DataFrame:
+    """keys, carried columns, field and outcome; a run whose gold has no fields keeps one row without a field."""
+    keys = [*keys, *carried]
+    pairs = aligned.select(*keys, "pred_fields", F.explode_outer("gold_fields").alias("gold")).select(
         *keys, "gold", F.get(F.filter("pred_fields", lambda c: c.field == F.col("gold.field")), 0).alias("pred")
     )
     textual = F.col("gold.kind") == "str"
@@ -80,17 +90,21 @@ def field_outcomes(aligned: DataFrame, keys: list[str], threshold: float = MATCH
     listed = F.col("gold.kind") == "list"
     contained = textual & (F.col("p").contains(F.col("g")) | F.col("g").contains(F.col("p")))
     is_open = ~listed & (F.col("p") != "") & ~contained & (F.col("g") != F.col("p"))
+    # A ratio is at most twice the shorter length by both lengths.
+    a, b = F.length("g"), F.length("p")
+    undecided = is_open & (2.0 * F.least(a, b) / (a + b) >= threshold)
     scored = pairs.withColumn(
-        "ratio", string_ratio(F.when(is_open, F.col("g")), F.when(is_open, F.col("p")))
+        "ratio", string_ratio(F.when(undecided, F.col("g")), F.when(undecided, F.col("p")))
     )
     outcome = (
         F.when(listed, _list_counts(F.col("gold.xs"), _as_values(F.col("pred"))))
         .when(textual & (F.col("g") == ""), _outcome(0, 0, 0))
         .when(F.col("p") == "", _outcome(0, 0, 1))
-        .when(~is_open | (F.col("ratio") >= threshold), _outcome(1, 0, 0))
+        .when(~is_open | F.coalesce(F.col("ratio") >= threshold, F.lit(False)), _outcome(1, 0, 0))
         .otherwise(_outcome(0, 1, 1))
     )
-    return scored.select(*keys, F.col("gold.field").alias("field"), outcome.alias("o")).select(*keys, "field", "o.*")
+    outcome = F.when(F.col("gold").isNull(), _outcome(0, 0, 0)).otherwise(outcome)
+    return scored.select(*keys, F.col("gold.field").alias("field"), outcome.alias("o"))
 
 
 def precision_recall(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
@@ -102,14 +116,13 @@ def precision_recall(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column
 
 def field_scores(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
     """Per run: tp, fp, fn, precision, recall, f1. Runs whose gold has no fields score zero."""
-    sums = field_outcomes(aligned, keys, threshold).groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]
-    )
-    zero = aligned.filter(F.size("gold_fields") == 0).select(
-        *keys, *[F.lit(0).cast("long").alias(c) for c in ("tp", "fp", "fn")]
-    )
+    sums = _judged_pairs(aligned, keys, threshold).groupBy(*keys).agg(*[F.sum(f"o.{c}").alias(c) for c in ("tp", "fp", "fn")])
+    return _with_rates(sums)
+
+
+def _with_rates(sums: DataFrame) -> DataFrame:
     precision, recall, f1 = precision_recall(F.col("tp"), F.col("fp"), F.col("fn"))
-    return sums.unionByName(zero).withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1)
+    return sums.withColumns({"precision": precision, "recall": recall}).withColumn("f1", f1)
 
 
 def _items(c: Column, usable: Column) -> Column:
@@ -145,15 +158,27 @@ def timing_summary(runs: DataFrame, timings: str = "timings") -> DataFrame:
     )
 
 
-def macro_report(aligned: DataFrame, keys: list[str]) -> DataFrame:
-    """One row: mean field precision, recall and F1, fuzzy score and page type accuracy; 0.0 if empty."""
+def macro_report(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """One row: mean field precision, recall and F1, and page type accuracy; 0.0 if empty. One pass over the runs."""
     mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
-    fields = field_scores(aligned, keys).agg(
-        mean("precision").alias("field_precision"), mean("recall").alias("field_recall"), mean("f1").alias("field_f1")
+    hit = F.coalesce((F.col("gold_page_type") == F.col("page_type")).cast("double"), F.lit(0.0))
+    pairs = _judged_pairs(aligned.withColumn("hit", hit), keys, threshold, ["hit"])
+    per_run = pairs.groupBy(*keys).agg(*[F.sum(f"o.{c}").alias(c) for c in ("tp", "fp", "fn")], F.max("hit").alias("hit"))
+    return _with_rates(per_run).agg(
+        mean("precision").alias("field_precision"), mean("recall").alias("field_recall"), mean("f1").alias("field_f1"),
+        mean("hit").alias("page_type_accuracy"),
     )
-    fuzzy = fuzzy_scores(aligned, keys).agg(mean("fuzzy").alias("fuzzy_score"))
-    # Each side is one row by construction.
-    return fields.crossJoin(fuzzy).crossJoin(page_type_accuracy(aligned))
+
+
+def report_rows(aligned: DataFrame, keys: list[str], timings: str = "timings") -> DataFrame:
+    """The whole report as rows (metric, value): scores, page type accuracy, and per stage the timing statistics."""
+    macro = macro_report(aligned, keys)
+    scores = macro.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in macro.columns])))
+    stages = timing_summary(aligned, timings)
+    times = stages.select(F.inline(F.array(*[
+        F.struct(F.concat_ws(".", F.lit("timing"), F.col("stage"), F.lit(c)).alias("metric"), F.col(c).cast("double").alias("value")) for c in ("mean", "std", "min", "max")
+    ])))
+    return scores.unionByName(times)
 
 
 def coverage(expected: Column, observed: Column) -> Column:

@@ -152,6 +152,26 @@ def macro_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(*[F.round(c, 6).alias(c) for c in names])
 
 
+@query(
+    "report_rows",
+    f"""WITH {_GOLD}, m AS (SELECT round(avg(p), 6) AS field_precision, round(avg(r), 6) AS field_recall,
+      round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 6) AS field_f1,
+      round(avg(CASE WHEN n % 5 <> 0 AND n % 3 = 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS page_type_accuracy FROM scores),
+    s AS (SELECT n % 3 AS k, (n % 17)::DOUBLE AS v FROM d)
+    SELECT metric, value FROM (UNPIVOT m ON COLUMNS(*) INTO NAME metric VALUE value)
+    UNION ALL SELECT 'timing.stage' || k || '.mean', round(avg(v), 6) FROM s GROUP BY k
+    UNION ALL SELECT 'timing.stage' || k || '.std', round(stddev_pop(v), 6) FROM s GROUP BY k
+    UNION ALL SELECT 'timing.stage' || k || '.min', min(v) FROM s GROUP BY k
+    UNION ALL SELECT 'timing.stage' || k || '.max', max(v) FROM s GROUP BY k""",
+)
+def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gold, runs = _gold_and_runs(spark, sf_dir)
+    n = F.col("doc_id")
+    timed = runs.withColumn("timings", F.create_map(text("stage", n % 3), (n % 17).cast("double")))
+    rows = metrics.report_rows(metrics.align_with_gold(timed, gold), ["doc_id"])
+    return rows.withColumn("value", F.round("value", 6))
+
+
 _H1 = sql_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
 _RUNS = f"""
 r AS (SELECT page_id, m.model, page_id % 6 <> 0 AS ok, {_H1} AS h1, page_id % 4 = 0 AS expects, page_id % 3 = 0 AS right_title
@@ -185,11 +205,11 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_cases(attach_replies(by_model, replies))
 
 
-# Not registered: no check of it has finished yet. Expected result as SQL:
 _EXPERIMENT_SQL = f"""WITH {_RUNS} SELECT case_id, model, error, page_type, intent_type, records_returned::BIGINT AS records_returned, page_type_correct,
       strategy_field_hit_rate::DOUBLE AS strategy_field_hit_rate, non_empty_fields::BIGINT AS non_empty_fields, extraction_exact_match FROM runs"""
 
 
+@query("experiment_runs", _EXPERIMENT_SQL)
 def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _runs(spark, sf_dir).select(
         "case_id", "model", "error", "page_type", "intent_type", F.col("records_returned").cast("bigint").alias("records_returned"),
@@ -198,13 +218,13 @@ def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Not registered: no check of it has finished yet. Expected result as SQL:
 _SUMMARY_SQL = f"""WITH {_RUNS} SELECT count(*) AS total_runs, round(avg(page_type_correct::INT), 6) AS page_type_accuracy,
       round(avg(CASE WHEN error IS NULL THEN NULL ELSE 0.0 END), 6) AS intent_type_accuracy,
       round(avg(strategy_field_hit_rate), 6)::DOUBLE AS strategy_field_hit_rate,
       round(avg(extraction_exact_match::INT), 6) AS extraction_exact_match_rate FROM runs"""
 
 
+@query("run_summary", _SUMMARY_SQL)
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = metrics.run_summary(_runs(spark, sf_dir))
     return summary.select("total_runs", *[F.round(c, 6).alias(c) for c in summary.columns if c != "total_runs"])

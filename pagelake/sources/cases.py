@@ -25,7 +25,8 @@ def cells_of(fields: Column) -> Column:
     def one(entry: Column) -> Column:
         value = entry["value"]
         kind = kind_of(value)
-        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), text_of)
+        # A null in a list is compared as its Python text.
+        items = F.transform(F.try_variant_get(value, "$", "array<variant>"), lambda v: F.coalesce(text_of(v), F.lit("None")))
         return (
             F.when(kind == "array", cell(entry.key, "list", xs=items))
             .when(kind == "null", cell(entry.key, "null"))
@@ -47,10 +48,10 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 
 def load_gold(spark: SparkSession, path: str) -> DataFrame:
-    """Gold runs (load_no, site, url, page_type, fields); load_no keeps the file order."""
+    """Gold runs (file, load_no, site, url, page_type, fields); load_no keeps the order within a file."""
     document = spark.read.schema(GOLD_SCHEMA).option("multiLine", True).json(path)
-    runs = document.select(F.posexplode("runs").alias("load_no", "r"))
-    return runs.select("load_no", "r.site", "r.url", "r.page_type", cells_of(F.col("r.fields")).alias("fields"))
+    runs = document.select(F.col("_metadata.file_path").alias("file"), F.posexplode("runs").alias("load_no", "r"))
+    return runs.select("file", "load_no", "r.site", "r.url", "r.page_type", cells_of(F.col("r.fields")).alias("fields"))
 
 
 def load_runs(spark: SparkSession, path: str) -> DataFrame:
