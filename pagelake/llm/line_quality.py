@@ -131,9 +131,11 @@ def learned_line_model(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id
     marks = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("long").alias("doc_id")).agg(F.min(label).cast("int").alias("label")).where(~held_out())
     counts = {r["label"]: r["count"] for r in marks.groupBy("label").count().collect()}
     prior = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
-    drawn = bounded_sample(marks, "label", SAMPLE_PER_LABEL, 2 * SAMPLE_PER_LABEL)
+    # The drawn ids are bounded by the sample's size, so they go to where the texts are, not the texts to them.
+    ids = bounded_sample(marks, "label", SAMPLE_PER_LABEL, 2 * SAMPLE_PER_LABEL).collect()
+    drawn = F.broadcast(docs.sparkSession.createDataFrame(ids, "doc_id long, label int"))
     texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body"))
-    rows = drawn.join(texts, "doc_id").select("doc_id", "label", "body").mapInArrow(_sampled_lines, "doc_id long, label int, lines array<array<double>>").collect()
+    rows = texts.join(drawn, "doc_id").select("doc_id", "label", "body").mapInArrow(_sampled_lines, "doc_id long, label int, lines array<array<double>>").collect()
     rows.sort(key=lambda r: (r["doc_id"], len(r["lines"]), r["lines"]))
     return fit_line_model([(r["label"], np.array(r["lines"])) for r in rows], prior)
 
