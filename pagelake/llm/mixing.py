@@ -148,7 +148,8 @@ def mixed_documents(
     joined = sized.join(placed, F.col("members") == F.col("pattern")).drop("pattern")
     outside = joined.where(bucket != F.col("cut")).withColumn("more", F.when(bucket < F.col("cut"), 1).otherwise(0).cast("long"))
     running = F.sum("size").over(Window.partitionBy("members").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, 0))
-    inside = joined.where(bucket == F.col("cut")).withColumn("more", F.when(F.col("before") + running <= F.col("rest"), 1).otherwise(0).cast("long"))
+    # Dealt out anew after the filter: else the window would hold the join above to one task per pattern.
+    inside = joined.where(bucket == F.col("cut")).repartition("members").withColumn("more", F.when(F.col("before") + running <= F.col("rest"), 1).otherwise(0).cast("long"))
     listed = spark.createDataFrame([(n, s, t) for (_, n), s, t in zip(names, sizes, targets)], "name string, source_size long, target double")
     result = outside.unionByName(inside).select("doc_id", *keep, F.col("members.name").alias("members"), "size", (F.col("whole") + F.col("more")).alias("repeats"))
     return result, listed
