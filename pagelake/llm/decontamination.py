@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.shingles import hashed_words, shingled
+from pagelake.session import write_through
 
 SIZE, PERCENT = 5, 75
 BLOCK_SHINGLES = 2_000_000
@@ -209,9 +210,9 @@ def to_arrow(kind) -> pa.DataType:
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that contain no item, with the columns they came with; rows with a null id stay.
 
-    The ids to drop are few next to the documents, so the anti join's size is left to the planner: it is
-    broadcast only below the session's threshold and shuffled by id, with skew splitting, beyond it.
+    An action: the ids to drop are written first, so that the planner knows their real size. It broadcasts them only
+    below the session's threshold and joins by shuffles beyond it.
     """
     name = options.get("doc_id", "doc_id")
-    leaked = contained_items(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct()
+    leaked = write_through(contained_items(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
     return docs.join(leaked, docs[name] == F.col("__leaked"), "left_anti")

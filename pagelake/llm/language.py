@@ -31,8 +31,8 @@ SPLICED = 0.4
 EPOCHS, RATE, DECAY = 40, 0.15, 1e-4
 LEXICON_WORDS = 150
 MIN_COUNT = 3
-MEMO_WORDS = 400_000
-BLOCK_CHARS = 1 << 21
+MEMO_WORDS = 150_000
+BLOCK_CHARS = 1 << 19
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -215,6 +215,8 @@ def identified(docs: DataFrame, model: LanguageModel | None, *, doc_id: str = "d
                     names=[*passed, "lang_pred", "score", "languages"],
                 )
                 at = stop
+        if model is not None:
+            model._forget()  # the worker lives on, but holds nothing for the next stage
 
     rows = source.mapInArrow(run, ", ".join([*fields, "lang_pred string", "score double", "languages string"]))
     return rows.withColumnRenamed("__text", "text") if keep_text else rows

@@ -26,7 +26,7 @@ from pagelake.llm.holdout import bounded_sample, held_out
 SAMPLE_PER_LABEL, SAMPLE_LINES = 1500, 60
 EPOCHS, RATE, DECAY = 150, 0.1, 1e-3
 THRESHOLD = 0.7
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 19
 SYMBOLS = "#*$%&|<>"
 OWN = (
     "bias", "length", "few words", "symbols", "no symbols", "bars", "marks", "shouted", "many shouted", "variety", "low variety",

@@ -38,9 +38,9 @@ END_ID = 2
 LEVEL = 3
 INDEX_MAGIC, SEEK_MAGIC, FOOT_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 CHECKSUMS = 0x80
-MEMO_WORDS = 800_000
+MEMO_WORDS = 400_000
 MEMO_CHARS = 48
-TEXT_CHARS = 1 << 21
+TEXT_CHARS = 1 << 19
 
 
 #: The tokenizer's own pre-tokens, for lower-cased text of the first 256 code points, which its normalizer leaves as it is.
@@ -115,7 +115,7 @@ _memo: dict[str, WordMemo] = {}
 
 
 def memo(tokenizer_file: str) -> WordMemo:
-    """One memo per worker process, kept from task to task."""
+    """One memo per worker process, so that the tokenizer is loaded once; each task empties it when it is done."""
     if tokenizer_file not in _memo:
         _memo[tokenizer_file] = WordMemo(tokenizer_file)
     return _memo[tokenizer_file]
@@ -253,6 +253,7 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
         if writer is not None:
             n_docs, n_ids = writer.close()
             sink.close()
+            encode.known = {}  # the worker lives on, but holds nothing for the next stage
             yield pa.RecordBatch.from_pylist([{"file": context.partitionId(), "path": path, "n_docs": n_docs, "n_ids": n_ids}])
 
     ordered = (
