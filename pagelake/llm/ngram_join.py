@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +39,10 @@ BLOCK_DOCS, BLOCK_SHINGLES = 1024, 1_000_000
 SKETCH_BITS, SKETCH_CHUNKS = 18, 64
 MATCHES = 8
 SALTS = 16
+PACK_BYTES = 8 << 20
+#: Keys are the first 54 bits of a hash. Two shingles with one key only make a spurious tie, and the prefix is one
+#: longer than it must be, so that a text which has both loses none. Sets are compared by whole hashes.
+KEY_SHIFT = np.uint64(10)
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -114,9 +119,9 @@ def prefix_length(n, percent: int):
 
 
 def packed(hashes: np.ndarray, rows: np.ndarray) -> bytes:
-    """Sorted hashes with their rows (below 65,536) as bytes: steps of six bytes where they fit, else of eight."""
+    """Sorted hashes with their rows (below 65,536) as bytes: steps of five bytes where they fit, else of six or eight."""
     steps = np.diff(hashes, prepend=hashes[:1])
-    width = 6 if not len(steps) or steps.max() < 1 << 48 else 8
+    width = next(w for w in (5, 6, 8) if w == 8 or not len(steps) or steps.max() < 1 << (8 * w))
     head = np.array([width, len(hashes)], "<u8").tobytes() + hashes[:1].tobytes()
     return head + steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes() + rows.astype("<u2").tobytes()
 
@@ -141,8 +146,14 @@ def _second_pass(size: int, bits: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = shared.value
         for whole in batches:
-            for start in range(0, whole.num_rows, 1 << 16):
-                batch = whole.slice(start, 1 << 16)
+            # Rows by bytes of text, so that the arrays below stay small whatever the batch.
+            size_before = np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(whole.column(1)), 0), np.int64))])
+            start = 0
+            while start < whole.num_rows:
+                stop = int(np.searchsorted(size_before, size_before[start] + PACK_BYTES, side="right")) - 1
+                stop = min(max(stop, start + 1), start + (1 << 16), whole.num_rows)
+                batch = whole.slice(start, stop - start)
+                start = stop
                 ids = np.asarray(batch.column(0))
                 hashes, rows = [], []
                 for first, sets, bounds in shingle_sets(batch.column(1), size):
@@ -155,18 +166,19 @@ def _second_pass(size: int, bits: int, shared):
                         bucket = (mixed(number.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
                         yield rows_of(bucket, [None] * n, [None] * n, number, sets[hot].view(np.int64), cost[hot])
                     hashes.append(sets[~hot])
-                    rows.append(row[~hot])
+                    rows.append(row[~hot].astype(np.uint16))
                 if not hashes:
                     continue
                 hashes, rows = np.concatenate(hashes), np.concatenate(rows)
                 order = np.argsort(hashes, kind="stable")
                 hashes, rows = hashes[order], rows[order]
+                del order
                 edges = np.searchsorted(hashes, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
                 out = []
                 for bucket, (low, high) in enumerate(zip(edges.tolist(), [*edges[1:].tolist(), len(hashes)])):
                     if low < high:
                         own, place = np.unique(rows[low:high], return_inverse=True)
-                        out.append((bucket, ids[own], packed(hashes[low:high], place)))
+                        out.append((bucket, ids[own], packed(hashes[low:high] >> KEY_SHIFT, place)))
                 for at in range(0, len(out), 64):
                     part = out[at : at + 64]
                     none = [None] * len(part)
@@ -176,18 +188,29 @@ def _second_pass(size: int, bits: int, shared):
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles that two documents or more have: (id, key, cost, whether only estimated). Holds one partition's shingles."""
-    hashes, numbers, names = [], [], ["id", "key", "cost", "hot"]
+    """Shingles that two documents or more have: (id, key, cost, whether only estimated).
+
+    Rows come sorted by bucket; one bucket's shingles are held at a time.
+    """
+    hashes, numbers, current, names = [], [], None, ["id", "key", "cost", "hot"]
     for batch in batches:
         hot = np.asarray(batch.column(2).is_null())
         if hot.any():
             part = batch.filter(pa.array(hot))
             yield pa.RecordBatch.from_arrays([part.column(3), part.column(4), part.column(5), pa.array(np.ones(part.num_rows, bool))], names=names)
-        for ids, data in zip(batch.column(1), batch.column(2)):
+        for bucket, ids, data in zip(np.asarray(batch.column(0)).tolist(), batch.column(1), batch.column(2)):
             if data.is_valid:
-                h, row = unpacked(data.as_py())
+                if bucket != current:
+                    yield from _repeated_in_bucket(hashes, numbers, names)
+                    current = bucket
+                h, row = unpacked(data.as_buffer())
                 hashes.append(h)
                 numbers.append(np.asarray(ids.values)[row])
+    yield from _repeated_in_bucket(hashes, numbers, names)
+
+
+def _repeated_in_bucket(hashes: list[np.ndarray], numbers: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Empties the lists."""
     if not hashes:
         return
     h, number = np.concatenate(hashes), np.concatenate(numbers)
@@ -195,6 +218,7 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     numbers.clear()
     order = np.argsort(h, kind="stable")
     h, number = h[order], number[order]
+    del order
     edges = np.concatenate([[0], np.flatnonzero(h[1:] != h[:-1]) + 1, [len(h)]])
     times = np.diff(edges)
     keep = np.repeat(times > 1, times)
@@ -361,12 +385,12 @@ def similar_components(
     bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     postings = (
         chosen.mapInArrow(_second_pass(size, bits, shared), "bucket int, ids array<long>, data binary, id long, key long, cost long")
-        .repartition(1 << bits, "bucket").mapInArrow(_repeated, "id long, key long, cost long, hot boolean")
+        .repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "id long, key long, cost long, hot boolean")
     )
     # Cheapest first: shingles of one document alone, which tie nothing, then the repeated ones by their cost.
     listed = postings.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("hot", "cost", "key"))).alias("repeated"))
     sizes = classes.groupBy(F.col("rep")).agg(F.max("n").alias("n"))
-    taken = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("repeated"))
+    taken = F.col("n") - F.ceil(F.col("n") * percent / 100) + 2 - (F.col("n") - F.size("repeated"))
     keys = listed.join(sizes, F.col("id") == F.col("rep")).withColumn("taken", taken.cast("int")).where("taken > 0").select(
         "id", F.xxhash64("id").alias("place"), F.explode(F.slice("repeated", 1, F.col("taken"))).alias("k"),
     ).select(F.col("k.key").alias("key"), F.when(F.col("k.hot"), F.pmod("place", F.lit(SALTS))).otherwise(0).cast("int").alias("salt"), F.col("k.hot").alias("hot"), "place", "id")
@@ -403,5 +427,5 @@ def similar_components(
 def one_per_component(docs: DataFrame, **options) -> DataFrame:
     """Of each component the document with the smallest id, with the columns it came with; rows without words all stay."""
     name = options.get("doc_id", "doc_id")
-    dropped = similar_components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped"))
+    dropped = write_through(similar_components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")), "dropped")
     return docs.join(dropped, docs[name] == F.col("__dropped"), "left_anti")
