@@ -2,7 +2,7 @@
 
 A text becomes its words in lower case with one space around each, so a signature is a regular expression over
 words and a place is a word number. A rule runs only where its keyword stands among the text's words, and no rule
-runs where a cheap test of the raw text finds none of the gate's pieces. A detection inside another detection of
+runs where a cheap test of the raw text shows that no expression can match; that test is made from the expressions. A detection inside another detection of
 the same or a higher priority is suppressed: "apache license" inside "licensed under the apache license version 2 0".
 
 Everything is expressions over one row; nothing is shuffled, and a row's detections stay in the row.
@@ -20,18 +20,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTING = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 # The phrases whose places are counted, with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Pieces of lower-cased text, one of which every text has that a rule or phrase can find.
-GATE = (
-    "licen", "lizen", "copyright", "rights reserved", "public domain", "gpl", "bsd", "mozilla", "creative", "spdx", "copyleft",
-    "warranty", "terms of use", "droits", "derechos", "rechte", "eupl", "mpl", "permission is hereby", "redistribution", "dominio", "gemeinfrei", "domaine public",
-)
-GATE_CC = "cc[^0-9a-z]+(?:by|0|zero)"
-
 # License names as word signatures, each with its keyword and label. A version is a group of digits.
 NAMES: tuple[tuple[str, str, str], ...] = (
     ("gnu", "gnu general public license", "gpl"), ("gnu", "gnu lesser general public license", "lgpl"), ("gnu", "gnu library general public license", "lgpl"),
     ("gnu", "gnu affero general public license", "agpl"), ("gnu", "gnu free documentation license", "gfdl"), ("gpl", "gpl", "gpl"), ("lgpl", "lgpl", "lgpl"),
-    ("agpl", "agpl", "agpl"), ("gfdl", "gfdl", "gfdl"), ("apache", "apache(?: software)? license", "apache"), ("mit", "(?:mit|expat) license", "mit"),
+    ("agpl", "agpl", "agpl"), ("gfdl", "gfdl", "gfdl"), ("apache", "apache(?: software)? license", "apache"), ("mit", "mit license", "mit"), ("expat", "expat license", "mit"),
     ("bsd", "(?:[234] clause )?(?:simplified |modified |new |original )?bsd(?: [234] clause)?(?: license)?", "bsd"), ("isc", "isc license", "isc"),
     ("mozilla", "mozilla public license", "mpl"), ("mpl", "mpl", "mpl"), ("eclipse", "eclipse public license", "epl"), ("eclipse", "eclipse distribution license", "edl"),
     ("artistic", "artistic license", "artistic"), ("boost", "boost software license", "bsl"), ("zlib", "zlib(?: libpng)? license", "zlib"),
@@ -71,10 +64,12 @@ NOTICES: tuple[tuple[str, str, str, int], ...] = (
     ("droits", "tous droits r[ée]serv[ée]s", "all-rights-reserved", 2), ("derechos", "todos los derechos reservados", "all-rights-reserved", 2),
     ("rechte", "alle rechte vorbehalten", "all-rights-reserved", 2), ("gemeinfrei", "gemeinfrei", "public-domain", 1),
     ("domaine", "domaine public", "public-domain", 1), ("dominio", "dominio p[úu]blico", "public-domain", 1),
-    ("proprietary", "proprietary and confidential", "proprietary", 2), ("license", "free for (?:non ?commercial|personal) use", "non-commercial", 1),
+    ("proprietary", "proprietary and confidential", "proprietary", 2), ("free", "free for (?:non ?commercial|personal) use", "non-commercial", 1),
 )
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 0.9, 4: 1.0}
 TOP = max(CONFIDENCE)
+#: Pieces of up to so many letters, where there are no longer ones, count for the gate only at the end of a word.
+SHORT = 3
 
 
 def rules() -> list[tuple[str, str, str, int, bool]]:
@@ -87,6 +82,53 @@ def rules() -> list[tuple[str, str, str, int, bool]]:
     return sorted(own + named, key=lambda r: -r[3])
 
 
+def sure_pieces(expression: str) -> frozenset[str]:
+    """Pieces of single words that every match of an expression has; a piece never holds a space."""
+    gap = "\n"
+    while (flat := re.sub(r"\((?:\?:)?[^()]*\)(?:[?*+]|\{[^}]*\})?", gap, expression)) != expression:
+        expression = flat
+    expression = re.sub(r"\[[^]]*\](?:[?*+]|\{[^}]*\})?|[a-z0-9][?*]", gap, expression)
+    if "|" in expression:
+        raise ValueError(f"alternatives outside a group: {expression!r}")
+    return frozenset(re.findall(r"[^ \n]+", expression))
+
+
+def is_short(clause: frozenset[str]) -> bool:
+    return all(len(p) <= SHORT for p in clause)
+
+
+def gate_clauses() -> list[frozenset[str]]:
+    """Sets of pieces: a text that a rule or a phrase can find has all pieces of at least one set.
+
+    Taken from the expressions of names, notices and phrases; a shape only puts words around a name.
+    """
+    expressions = [name for _, name, _ in NAMES] + [expression for _, expression, _, _ in NOTICES] + list(PHRASES)
+    found = set()
+    for expression in expressions:
+        pieces = sure_pieces(expression)
+        if not pieces:
+            raise ValueError(f"no piece stands in every match of {expression!r}")
+        # Most names have "licen", which is rare enough to stand alone.
+        found.add(frozenset({"licen"}) if any("licen" in p for p in pieces) else pieces)
+    within = lambda small, large: small < large if is_short(small) else all(any(p in q for q in large) for p in small)
+    return sorted((c for c in found if not any(d != c and within(d, c) for d in found)), key=sorted)
+
+
+def may_hold(lowered: Column) -> Column:
+    """Whether a lower-cased text passes the gate. Pieces are looked for one at a time, so what parts words is free."""
+    gate, short = F.lit(False), []
+    for clause in gate_clauses():
+        if is_short(clause):
+            # As the end of a word: as a piece alone, "mpl" would stand in every "example".
+            short.append(min(clause, key=lambda p: (-len(p), p)))
+            continue
+        whole = F.lit(True)
+        for piece in sorted((p for p in clause if len(p) >= SHORT), key=lambda p: (-len(p), p)):
+            whole = whole & F.contains(lowered, F.lit(piece))
+        gate = gate | whole
+    return gate | lowered.rlike(f"(?:{'|'.join(short)})(?:[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]|$)") if short else gate
+
+
 def has_word(word: str) -> str:
     return f"(?<= ){word}(?= )"
 
@@ -116,11 +158,7 @@ def scanned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> D
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     lowered = body.withColumn("lowered", F.lower("body"))
-    gate = F.lit(False)
-    for piece in GATE:
-        gate = gate | F.contains("lowered", F.lit(piece))
-    gate = gate | F.col("lowered").rlike(GATE_CC)
-    counted = lowered.select("doc_id", "body", F.size(F.filter(F.split("body", PARTING), lambda w: w != "")).cast("long").alias("n_words"), gate.alias("gate"))
+    counted = lowered.select("doc_id", "body", F.size(F.filter(F.split("body", PARTING), lambda w: w != "")).cast("long").alias("n_words"), may_hold(F.col("lowered")).alias("gate"))
     spaced = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.translate("body", UPPER, LOWER), PARTING), lambda w: w != ""), " "), F.lit(" "))
     norms = counted.select("doc_id", "n_words", F.when(F.col("gate"), spaced).alias("norm"))
     listed = rules()

@@ -1,7 +1,9 @@
 """Phrase places against brute force, and the rules against the same rules in Python."""
 
+import itertools
 import random
 import re
+from re import _parser
 
 from pagelake.llm.license_scan import PHRASES, has_word, rules, scanned
 
@@ -64,3 +66,49 @@ def test_labels_of_known_notices(spark):
     assert labels[12] == {"public-domain"} and labels[13] == {"all-rights-reserved"}
     assert len(rules()) > 200
     assert scanned(docs.limit(0)).collect() == []
+
+
+def examples(parsed):
+    """Texts that a parsed expression matches: every alternative, and optional parts left out and put in."""
+    choices = []
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            choices.append([chr(value)])
+        elif kind == "IN":
+            choices.append([chr(v if str(k) == "LITERAL" else v[0]) for k, v in value])
+        elif kind == "SUBPATTERN":
+            choices.append(examples(value[-1]))
+        elif kind == "BRANCH":
+            choices.append([e for branch in value[1] for e in examples(branch)])
+        elif kind == "MAX_REPEAT":
+            low, high, inner = value
+            own = examples(inner)
+            choices.append([own[0] * low] + ([e * max(low, 1) for e in own] if high else []))
+        else:
+            raise AssertionError(kind)
+    return ["".join(c) for c in itertools.product(*choices)]
+
+
+def test_every_rule_is_found_alone(spark):
+    """Each example is the whole text, so no other word opens the gate or brings a keyword."""
+    texts = []
+    for _, expression, label, priority, _ in rules():
+        found = examples(_parser.parse(expression))
+        texts += [(e, expression, label, priority) for e in dict.fromkeys([found[0], found[-1], *random.Random(expression).sample(found, min(2, len(found)))])]
+    docs = spark.createDataFrame([(k, "\n".join(e.split()).upper() if k % 2 and e.isascii() else e) for k, (e, *_) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in scanned(docs).collect()}
+    for k, (e, expression, label, priority) in enumerate(texts):
+        best = max((d.priority for d in got[k].detections), default=0)
+        assert best >= priority, (e, expression, got[k].detections)
+
+
+def test_names_the_gate_used_to_miss(spark):
+    texts = {
+        "CC0 1.0": "cc0", "CDDL 1.0": "cddl", "WTFPL": "wtfpl", "SSPL v1": "sspl-1", "ODbL": "odbl", "GFDL 1.3": "gfdl", "UPL 1.0": "upl", "LPPL": "lppl",
+        "CeCILL C": "cecill", "PolyForm Strict": "polyform", "proprietary and confidential": "proprietary", "Expat License": "mit",
+        "Permission to use, copy, modify, and/or distribute this software": "isc", "all rights\nreserved": "all-rights-reserved", "free for personal use": "non-commercial",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: {d.label for d in r.detections} for r in scanned(docs).collect()}
+    assert [got[k] for k in range(len(texts))] == [{label} for label in texts.values()]
