@@ -107,7 +107,7 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def more_candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Looser candidates outside the base, whose verdict is the method's."""
-    if " at " in text or "(at)" in text or "[at]" in text or " AT " in text:
+    if ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text):  # as every match of SPELLED has
         for m in SPELLED.finditer(text):
             yield "address", *m.span()
     for pattern in (GROUPS, IDENTITY):

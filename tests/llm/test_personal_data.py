@@ -55,3 +55,10 @@ def test_documents(spark):
             assert [s for s in r.j.split(",") if s] == [f"{s['kind']}:{s['start']}:{s['end']}" for s in r.spans]
     assert found_personal_data(docs.limit(0)).collect() == []
     assert hashlib.sha256(b"").hexdigest() == spark.sql("select sha2('', 256)").first()[0]
+
+
+def test_every_spelling_is_a_candidate_alone():
+    for before, after in (("[", "]"), ("(", ")"), (" ", " "), (" [", "] "), (" (", ") "), ("( ", " )")):
+        for at, dot in (("at", "dot"), ("AT", "DOT"), ("AT", "dot"), ("at", "DOT")):
+            text = f"john{before}{at}{after}example{before}{dot}{after}com"
+            assert ("address", 0, len(text)) in list(more_candidates(text)), text
