@@ -2,6 +2,7 @@
 
 from pagelake.llm import (  # noqa: F401
     decontamination_queries,
+    exact_copies_queries,
     language_queries,
     license_scan_queries,
     line_quality_queries,
