@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from pagelake.llm import (  # noqa: F401
+    collocations_queries,
     decontamination_queries,
     exact_copies_queries,
     language_queries,
