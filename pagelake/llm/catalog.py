@@ -11,6 +11,7 @@ from pagelake.llm import (  # noqa: F401
     ngram_join_queries,
     personal_data_queries,
     quality_rules_queries,
+    ranked_search_queries,
     secret_scan_queries,
     token_files_queries,
 )
