@@ -32,11 +32,11 @@ from pagelake.session import write_through
 
 MIN_COUNT, COVER_PERCENT, TOP = 10, 50, 2000
 NO_LANGUAGE = "und"
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: A block names the prefixes with one in ``HOT`` of its words; those that come to one in ``HOT`` of all are hot.
 HOT = 8192
 #: Entries of a bucket that are merged at a time.
-MERGE = 4 << 20
+MERGE = 3 << 19
 RANK_SALTS = 64
 
 _KIND = np.zeros(256, np.uint8)
@@ -163,13 +163,13 @@ def _phrases(block: Block, size: int) -> tuple[list[np.ndarray], np.ndarray]:
         key, counts = _counted(key)
         parts = []
         for _ in range(size):
-            parts.append(key % u)
+            parts.append((key % u).astype(np.int32))
             key = key // u
         return parts[::-1], counts
     first, inverse = np.unique(block.ids[end - 2] * u + block.ids[end - 1], return_inverse=True)
     key, counts = _counted(inverse.astype(np.int64) * u + block.ids[end])
     head = first[key // u]
-    return [head // u, head % u, key % u], counts
+    return [x.astype(np.int32) for x in (head // u, head % u, key % u)], counts
 
 
 def string_hashes(words: pa.Array) -> np.ndarray:
@@ -314,8 +314,8 @@ def _dealt(bits: int, chunk: int, hot):
                         pair = np.where((known[parts[0]] >= 0) & (known[parts[1]] >= 0), known[parts[0]] * (len(hot_words) + 1) + known[parts[1]], -1)
                         spread = np.isin(pair, named["twos"])
                     prefix[spread] = mixed(prefix[spread] + hashes[parts[-1]][spread])
-                    head = [*parts[:-1], *[np.full(len(counts), -1, np.int64)] * (3 - size)]
-                    columns.append(((prefix >> np.uint64(64 - bits)).astype(np.int64), *head, parts[-1], counts))
+                    head = [*parts[:-1], *[np.full(len(counts), -1, np.int32)] * (3 - size)]
+                    columns.append(((prefix >> np.uint64(64 - bits)).astype(np.int32), *head, parts[-1], counts))
                 columns = [np.concatenate(x) for x in zip(*columns)]
                 order = np.argsort(columns[0], kind="stable")
                 bucket, first, second, nexts, counts = (x[order] for x in columns)
