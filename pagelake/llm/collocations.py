@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagelake.llm.shingles import _power_tables, mixed
+from pagelake.llm.shingles import PIECE, _power_tables, mixed
 from pagelake.session import write_through
 
 MIN_COUNT, COVER_PERCENT, TOP = 10, 50, 2000
@@ -38,6 +38,8 @@ HOT = 8192
 #: Entries of a bucket that are merged at a time.
 MERGE = 3 << 19
 RANK_SALTS = 64
+#: Buckets a shuffle partition: one bucket's stripes are held at a time.
+BUCKETS = 8
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -179,10 +181,17 @@ def string_hashes(words: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(offset_buffer, np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
     data = np.frombuffer(data_buffer, np.uint8)[offsets[0] : offsets[-1]] if data_buffer is not None else np.zeros(0, np.uint8)
     offsets = offsets - offsets[0]
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    return mixed((sums[offsets[1:]] - sums[offsets[:-1]]) * inverse[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+    out, low = np.zeros(len(words), np.uint64), 0
+    while low < len(words):
+        # In pieces, so that the tables of powers stay small.
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + PIECE, side="right")) - 1)
+        edges, part = offsets[low : high + 1] - offsets[low], data[offsets[low] : offsets[high]]
+        power, inverse = _power_tables(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        out[low:high] = mixed((sums[edges[1:]] - sums[edges[:-1]]) * inverse[edges[:-1]] + np.diff(edges).astype(np.uint64))
+        low = high
+    return out
 
 
 class Stripes(NamedTuple):
@@ -390,9 +399,10 @@ def frequent_phrases(
     sizes = frequent.where("w1 is null").groupBy("lang").agg(F.sum("f").alias("n"))
     words = sizes.agg(F.sum("n")).first()[0] or 0
     hot = spark.sparkContext.broadcast(_hot_prefixes(frequent, words, hot_share))
-    bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = (BUCKETS * partitions - 1).bit_length()
     stripes = source.mapInArrow(_dealt(bits, chunk, hot), "bucket int, data binary")
-    facts = stripes.repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_facts(min_count), FACTS)
+    facts = stripes.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(_bucket_facts(min_count), FACTS)
     return write_through(facts, "phrases"), sizes
 
 
