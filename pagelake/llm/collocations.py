@@ -39,7 +39,7 @@ HOT = 8192
 MERGE = 3 << 19
 RANK_SALTS = 64
 #: Buckets a shuffle partition: one bucket's stripes are held at a time.
-BUCKETS = 8
+BUCKETS = 4
 
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -50,6 +50,8 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 
 class Block(NamedTuple):
     words: pa.Array  # "language<tab>word", distinct
+    lang: np.ndarray  # of each of the words, a position in langs
+    langs: pa.Array
     ids: np.ndarray  # of each token, a position in words
     joined: np.ndarray  # whether a token follows the one before it in one piece
     fresh: int  # tokens before this one were counted by the block before
@@ -117,7 +119,7 @@ def blocks(langs: pa.Array, texts: pa.Array, chunk: int = CHUNK) -> Iterator[Blo
             pair = row_lang[row] * v + np.asarray(words.indices)
             distinct, ids = _numbered(pair, len(langs.dictionary) * v)
             named = pc.binary_join_element_wise(langs.dictionary.take(pa.array(distinct // v)), words.dictionary.take(pa.array(distinct % v)), "\t")
-            yield Block(named, ids, joined, int(np.searchsorted(starts, done - begin)))
+            yield Block(named, distinct // v, langs.dictionary, ids, joined, int(np.searchsorted(starts, done - begin)))
         done, again = end, end
         for k in (1, 2):
             if len(starts) >= k and (k == 1 or joined[-1]):
@@ -211,33 +213,47 @@ def _striped(words: pa.Array, first: np.ndarray, second: np.ndarray, nexts: np.n
     return Stripes(words, first[at], second[at], np.append(at, len(nexts)), nexts, counts)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Non-negative integers in as few bytes each as the largest needs, lowest bytes first, so that zeros lie together."""
+    width = next(w for w in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * w))
+    return bytes([width]) + values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _read_planes(raw: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    width = raw[at]
+    whole = np.zeros((n, 8), np.uint8)
+    whole[:, :width] = np.frombuffer(raw, np.uint8, width * n, at + 1).reshape(width, n).T
+    return whole.view("<i8")[:, 0], at + 1 + width * n
+
+
 def packed(stripes: Stripes) -> bytes:
     """As bytes, with only the words the stripes name."""
     used, numbers = np.unique(np.concatenate([stripes.first, stripes.second, stripes.nexts, [-1]]), return_inverse=True)
-    numbers = numbers.astype(np.int32) - 1  # -1 is always the smallest
     n, m = len(stripes.first), len(stripes.nexts)
-    words = pa.concat_arrays([stripes.words.take(pa.array(used[1:]))]).cast(pa.string())
+    words = pa.concat_arrays([stripes.words.take(pa.array(used[1:]))]).cast(pa.string())  # -1 is always the smallest
     _, offset_buffer, data_buffer = words.buffers()
     offsets = np.frombuffer(offset_buffer, np.int32)[: len(words) + 1]
     text = data_buffer.to_pybytes()[: offsets[-1]] if data_buffer is not None else b""
+    step = np.diff(numbers[:n], prepend=0)
     parts = [
-        np.array([n, m, len(words)], "<i8"), np.diff(offsets).astype("<i4"), numbers[:n].astype("<i4"), numbers[n : 2 * n].astype("<i4"),
-        np.diff(stripes.starts).astype("<i4"), numbers[2 * n : 2 * n + m].astype("<i4"), stripes.counts.astype("<i8"),
+        np.diff(offsets), np.where(step < 0, -2 * step - 1, 2 * step), numbers[n : 2 * n], np.diff(stripes.starts), numbers[2 * n : 2 * n + m], stripes.counts,
     ]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(p.tobytes() for p in parts) + text)
+    head = np.array([n, m, len(words)], "<i8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(_planes(p) for p in parts) + text)
 
 
 def unpacked(data: bytes) -> Stripes:
     raw = zstandard.ZstdDecompressor().decompress(data)
     n, m, v = np.frombuffer(raw, "<i8", 3).tolist()
     at, parts = 24, []
-    for length in (v, n, n, n, m):
-        parts.append(np.frombuffer(raw, "<i4", length, at).astype(np.int64))
-        at += 4 * length
-    counts = np.frombuffer(raw, "<i8", m, at)
-    offsets = np.concatenate([[0], np.cumsum(parts[0])]).astype(np.int32)
-    words = pa.StringArray.from_buffers(v, pa.py_buffer(offsets), pa.py_buffer(raw[at + 8 * m :]))
-    return Stripes(words, parts[1], parts[2], np.concatenate([[0], np.cumsum(parts[3])]), parts[4], counts)
+    for length in (v, n, n, n, m, m):
+        values, at = _read_planes(raw, at, length)
+        parts.append(values)
+    lengths, step, second, sizes, nexts, counts = parts
+    first = np.cumsum(np.where(step & 1, -(step + 1) // 2, step // 2))
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(v, pa.py_buffer(offsets), pa.py_buffer(raw[at:]))
+    return Stripes(words, first - 1, second - 1, np.concatenate([[0], np.cumsum(sizes)]), nexts - 1, counts)
 
 
 def merged(parts: list[Stripes]) -> Stripes:
@@ -285,13 +301,12 @@ def _frequent(share: int, chunk: int):
         for batch in batches:
             for block in blocks(batch.column(0), batch.column(1), chunk):
                 limit = max(64, (len(block.ids) - block.fresh) // share)
+                words = np.bincount(block.lang[block.ids[block.fresh :]], minlength=len(block.langs))
+                some = np.flatnonzero(words)
+                none = pa.nulls(len(some), pa.string())
+                yield pa.RecordBatch.from_arrays([block.langs.take(pa.array(some)), none, none, none, pa.array(words[some])], names=["lang", "w1", "w2", "w3", "f"])
                 for size in (1, 2):
                     parts, counts = _phrases(block, size)
-                    if size == 1:
-                        langs, code = np.unique(np.array(_split(block.words.take(pa.array(parts[0])).to_pylist())[0], object), return_inverse=True)
-                        totals = np.bincount(code, weights=counts).astype(np.int64)
-                        none = [None] * len(langs)
-                        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), *[pa.array(none, pa.string())] * 3, pa.array(totals)], names=["lang", "w1", "w2", "w3", "f"])
                     often = counts >= limit
                     if often.any():
                         yield _facts(block.words, [p[often] for p in parts], counts[often])
