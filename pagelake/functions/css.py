@@ -7,12 +7,18 @@ descendant and child combinators and comma lists. Other selectors parse to NULL
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagelake.functions.text import as_col, let
 from pagelake.sources.html import TEXT_OWNERS, ancestors
 
+_TEST_TYPE = "struct<kind:string,key:string,op:string,value:string>"
+PARSED_SELECTOR = f"array<struct<steps:array<struct<child:boolean,tests:array<{_TEST_TYPE}>>>,place:string>>"
+
 _IDENT = r"[\w\-\x{80}-\x{10FFFF}]+"
 _VALUE = r"(?:\"[^\"]*\"|'[^']*'|[^\]\s\"']+)"
 _ATTR = rf"\[\s*[\w:.\-]+\s*(?:[~|^$*!]?=\s*{_VALUE}\s*)?\]"
@@ -61,8 +67,22 @@ def _parse_test(raw: Column) -> Column:
     )
 
 
+def _place(tests: Column) -> Column:
+    """Key of a page's index that lists every node passing ``tests``, the rarest kind first; NULL where there is none."""
+
+    def named(mark: str, wanted: Callable[[Column], Column], part: str) -> Column:
+        return F.concat(F.lit(mark), F.get(F.filter(tests, wanted), 0)[part])
+
+    return F.coalesce(
+        named("#", lambda t: (t.kind == "attr") & (t.key == "id") & (t.op == "="), "value"),
+        named(".", lambda t: t.kind == "class", "value"),
+        named("[", lambda t: (t.kind == "attr") & (t.op != "!="), "key"),
+        named("", lambda t: t.kind == "tag", "value"),
+    )
+
+
 def parse_selector(selector: Column | str) -> Column:
-    """``array<struct<steps: array<struct<child, tests>>>>``, one entry per comma alternative."""
+    """``PARSED_SELECTOR``: one entry per comma alternative, with its steps and the key of the index it starts from."""
     text = sanitize_selector(selector)
 
     def parse_step(raw: Column) -> Column:
@@ -75,7 +95,7 @@ def parse_selector(selector: Column | str) -> Column:
 
     def parse_chain(raw: Column) -> Column:
         steps = F.regexp_extract_all(raw, F.lit(f"({_STEP})"), F.lit(1))
-        return F.struct(F.transform(steps, parse_step).alias("steps"))
+        return let(F.transform(steps, parse_step), lambda parsed: F.struct(parsed.alias("steps"), _place(F.element_at(parsed, -1).tests).alias("place")))
 
     chains = F.regexp_extract_all(text, F.lit(f"({_CHAIN})"), F.lit(1))
     return F.when(text.rlike(_SELECTOR), F.transform(chains, parse_chain))
@@ -175,20 +195,45 @@ def _ancestors_pass(nodes: Column, texts: Column, node: Column, steps: Column) -
     )
 
 
-def node_matches(nodes: Column, texts: Column, node: Column, parsed: Column) -> Column:
-    def chain_matches(chain: Column) -> Column:
-        last = F.element_at(chain.steps, -1)
-        return F.when(
-            _passes(node, last.tests, texts),
-            F.when(F.size(chain.steps) == 1, True).otherwise(
-                _ancestors_pass(nodes, texts, node, chain.steps)
-            ),
-        ).otherwise(False)
+def node_matches(nodes: Column, texts: Column, node: Column, chain: Column) -> Column:
+    last = F.element_at(chain.steps, -1)
+    return F.when(
+        _passes(node, last.tests, texts),
+        F.when(F.size(chain.steps) == 1, True).otherwise(_ancestors_pass(nodes, texts, node, chain.steps)),
+    ).otherwise(False)
+
+
+def select_nodes(nodes: Column, texts: Column, places: Column, parsed: Column) -> Column:
+    """Nodes matching the parsed selector, in document order; empty for an unsupported one.
+
+    Only the nodes that the index lists for the selector's last step are looked at. A step without anything the index
+    knows (``*``, ``:-soup-contains()``, ``!=``) looks at all.
+    """
+
+    def hits(chain: Column) -> Column:
+        listed = F.when(chain.place.isNull(), F.transform(nodes, lambda n: n.i)).otherwise(F.try_element_at(places, chain.place))
+        return F.filter(
+            F.coalesce(listed, F.array().cast("array<int>")),
+            lambda i: let(F.get(nodes, i), lambda node: node_matches(nodes, texts, node, chain)),
+        )
+
+    def in_order(found: Column) -> Column:
+        return F.when(F.size(found) == 1, F.get(found, 0)).otherwise(F.array_sort(F.array_distinct(F.flatten(found))))
+
+    positions = let(F.transform(parsed, hits), in_order)
+    return F.coalesce(F.transform(positions, lambda i: F.get(nodes, i)), F.slice(nodes, 1, 0))
+
+
+@lru_cache(maxsize=4096)
+def _parsed_json(selectors: tuple[str, ...]) -> tuple[str, ...]:
+    from pyspark.sql import SparkSession
 
-    return F.exists(parsed, chain_matches)
+    spark = SparkSession.getActiveSession()
+    rows = spark.createDataFrame(list(enumerate(selectors)), "n int, s string").select("n", F.to_json(parse_selector("s")).alias("j"))
+    found = {r.n: r.j for r in rows.collect()}
+    return tuple(found[n] or "[]" for n in range(len(selectors)))
 
 
-def select_nodes(nodes: Column, texts: Column, parsed: Column) -> Column:
-    """Nodes matching the parsed selector, in document order; empty for an unsupported one."""
-    found = let(parsed, lambda p: F.filter(nodes, lambda node: node_matches(nodes, texts, node, p)))
-    return F.coalesce(found, F.slice(nodes, 1, 0))
+def literal_selectors(selectors: list[str]) -> list[Column]:
+    """Selectors known beforehand, parsed once for all rows and runs of a session; unsupported ones match nothing."""
+    return [F.from_json(F.lit(j), PARSED_SELECTOR) for j in _parsed_json(tuple(selectors))]

@@ -9,13 +9,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelake.functions.css import attr, node_text, parse_selector, sanitize_selector, select_nodes
+from pagelake.functions.css import PARSED_SELECTOR, attr, literal_selectors, node_text, parse_selector, sanitize_selector, select_nodes
 from pagelake.functions.text import empty_to_null, let, strip
 from pagelake.functions.urls import is_script_url, resolve_or_keep, resolve_url
 from pagelake.operators.summary import below
+from pagelake.sources.html import PARSED
 
 CELL = "struct<field:string,kind:string,s:string,xs:array<string>>"
-FIELD = "struct<field:string,selector:string,method:string,field_limit:int,fallback:string>"
+#: ``parsed`` and ``fallback_parsed`` may be NULL; the selectors are then parsed where they are needed.
+FIELD = (
+    "struct<field:string,selector:string,method:string,field_limit:int,fallback:string,"
+    f"parsed:{PARSED_SELECTOR},fallback_parsed:{PARSED_SELECTOR}>"
+)
 
 # Field names with their own rules, and attributes that hold several tokens.
 HREF_LIST_FIELDS = ["sub_comments", "links"]
@@ -28,12 +33,12 @@ TOKEN_LIST_ATTRS = ["class", "rel", "rev", "accept-charset", "headers", "accessk
 class Page:
     """The columns an extraction reads: element arrays and the URL links are resolved against."""
 
-    def __init__(self, base_url: Column | str = "url", nodes: str = "nodes", texts: str = "texts") -> None:
+    def __init__(self, base_url: Column | str = "url", nodes: str = "nodes", texts: str = "texts", places: str = "places") -> None:
         self.base = F.col(base_url) if isinstance(base_url, str) else base_url
-        self.nodes, self.texts = F.col(nodes), F.col(texts)
+        self.nodes, self.texts, self.places = F.col(nodes), F.col(texts), F.col(places)
 
     def select(self, parsed: Column) -> Column:
-        return select_nodes(self.nodes, self.texts, parsed)
+        return select_nodes(self.nodes, self.texts, self.places, parsed)
 
     def first(self, parsed: Column) -> Column:
         return F.get(self.select(parsed), 0)
@@ -156,8 +161,8 @@ def _field_values(page: Page, f: Column, method: Column, matched: Column, max_it
 def _field_cell(page: Page, f: Column, max_items: Column) -> Column:
     """Values by the field's selector, or by its fallback selector when that finds nothing."""
     attempts = F.array(
-        F.struct(f.selector.alias("selector"), f.method.alias("method")),
-        F.struct(f.fallback.alias("selector"), F.lit("text").alias("method")),
+        F.struct(f.selector.alias("selector"), f.method.alias("method"), f.parsed.alias("parsed")),
+        F.struct(f.fallback.alias("selector"), F.lit("text").alias("method"), f.fallback_parsed.alias("parsed")),
     )
     nothing = F.lit(None).cast(FOUND)
 
@@ -165,7 +170,7 @@ def _field_cell(page: Page, f: Column, max_items: Column) -> Column:
         filled = F.exists(found.raws, lambda r: (r.v != "") | (found.kind == "list"))
         settled = found.isNotNull() & (F.coalesce(filled, F.lit(False)) | x.selector.isNull())
         evaluated = let(
-            page.select(parse_selector(x.selector)),
+            page.select(F.coalesce(x.parsed, parse_selector(x.selector))),
             lambda matched: _field_values(page, f, x.method, matched, max_items),
         )
         return F.when(settled, found).otherwise(evaluated)
@@ -215,7 +220,7 @@ def inline_records(page: Page, fields: Column, max_items: Column) -> Column:
     usable = F.filter(fields, lambda f: sanitize_selector(f.selector) != "")
 
     def column(f: Column) -> Column:
-        found = F.transform(page.select(parse_selector(f.selector)), lambda n: _inline_raw(page, f, n))
+        found = F.transform(page.select(F.coalesce(f.parsed, parse_selector(f.selector))), lambda n: _inline_raw(page, f, n))
         kept = _limited(F.filter(found, lambda r: r.isNotNull()), effective_limit(f.field_limit, max_items))
         return F.struct(
             f.field.alias("field"),
@@ -246,6 +251,19 @@ def added_field(field: Column, selector: Column, method: str) -> Column:
         F.lit(method).alias("method"),
         F.lit(None).cast("int").alias("field_limit"),
         F.lit(None).cast("string").alias("fallback"),
+        *_unparsed(),
+    )
+
+
+def _unparsed() -> list[Column]:
+    return [F.lit(None).cast(PARSED_SELECTOR).alias(name) for name in ("parsed", "fallback_parsed")]
+
+
+def with_parsed(fields: Column) -> Column:
+    """The same field structs with their selectors parsed, for a plan that many pages are read by."""
+    return F.transform(
+        fields.cast(f"array<{FIELD}>"),
+        lambda f: f.withField("parsed", parse_selector(f.selector)).withField("fallback_parsed", F.when(f.fallback.isNotNull(), parse_selector(f.fallback))),
     )
 
 
@@ -259,6 +277,7 @@ def fields_of(strategy: Column) -> Column:
             F.coalesce(F.try_element_at(strategy.field_methods, e.key), F.lit("css")).alias("method"),
             F.try_element_at(strategy.field_limits, e.key).alias("field_limit"),
             F.try_element_at(strategy.fallback_selectors, e.key).alias("fallback"),
+            *_unparsed(),
         ),
     )
 
@@ -267,16 +286,21 @@ def literal_fields(fields: list[tuple]) -> Column:
     """Field structs from (field, selector, method, limit, fallback) tuples."""
     names = ["field", "selector", "method", "field_limit", "fallback"]
     types = ["string", "string", "string", "int", "string"]
+    rows = [(*row, None, None)[:5] for row in fields]
+    parsed = iter(literal_selectors([row[k] or "" for row in rows for k in (1, 4)]))
     structs = [
-        F.struct(*[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, (*row, None, None)[:5], strict=True)])
-        for row in fields
+        F.struct(
+            *[F.lit(v).cast(t).alias(n) for n, t, v in zip(names, types, row, strict=True)],
+            next(parsed).alias("parsed"), next(parsed).alias("fallback_parsed"),
+        )
+        for row in rows
     ]
     return F.array(*structs).cast(f"array<{FIELD}>")
 
 
 def extract_fields(doms: DataFrame, fields: list[tuple], max_items: int | None = None, base: str = "url") -> DataFrame:
     """Fixed fields from every page; adds the ``record`` column and drops the element arrays."""
-    kept = [c for c in doms.columns if c not in ("nodes", "texts")]
+    kept = [c for c in doms.columns if c not in PARSED]
     record = extract_record(Page(base), literal_fields(fields), F.lit(max_items).cast("int"))
     return doms.select(*kept, record.alias("record"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.css import attr, node_text
 from pagelake.functions.text import let, strip
-from pagelake.sources.html import ancestors
+from pagelake.sources.html import PARSED, ancestors
 
 NODES, TEXTS = "nodes", "texts"
 
@@ -186,7 +186,7 @@ def summarize(
     max_lists: int = MAX_LISTS,
 ) -> DataFrame:
     """Typed summary columns next to the page columns; the element arrays are dropped."""
-    kept = [name for name in doms.columns if name not in (NODES, TEXTS)]
+    kept = [name for name in doms.columns if name not in PARSED]
     return doms.select(
         *kept,
         title().alias("title"),

@@ -2,7 +2,8 @@
 
 The tolerant HTML reading is the one step here that built-in functions cannot express, so it runs
 in ``mapInArrow``. Everything it returns is plain columns: ``texts`` holds the stripped text runs
-of the page in order and ``nodes`` the elements in document order. A node's text is a slice of
+of the page in order, ``nodes`` the elements in document order, and ``places`` lists the nodes by tag, class, id
+and attribute. A node's text is a slice of
 ``texts`` (``t0`` to ``t1``) and its ancestors are positions in ``nodes``: listed in ``anc`` down to
 ``LISTED_DEPTH``, and below it those whose descendants reach past the node. So a page of any depth
 takes memory in proportion to its elements, and every later step is a Column expression over the same row.
@@ -12,13 +13,18 @@ from __future__ import annotations
 
 import html as html_entities
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagelake.sources.places import PLACES_TYPE, page_index
+
 NODE_TYPE = T.StructType(
     [
         T.StructField("i", T.IntegerType()),  # position in nodes, document order
@@ -81,13 +87,8 @@ END_RANK = {
 DEFAULT_RANK = 100
 LISTED_DEPTH = 256  # deeper elements leave ``anc`` NULL; ``ancestors`` finds theirs from ``last``
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<start>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<bare>[a-zA-Z][^\s/>]*)(?P<rest>[^>]*)>",
-    re.DOTALL,
-)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_MARK = re.compile(r"[>\"']")
 _ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _UNQUOTED_TAIL = re.compile(r"=\s*[^\s\"'>]*/$")  # the slash belongs to a value
 _RAW_END = {tag: re.compile(rf"</{tag}\s*/?>", re.IGNORECASE) for tag in RAW_TEXT}
@@ -114,16 +115,16 @@ class _Columns:
             [pa.array(self.s, pa.string()), pa.array(self.owner, pa.string()), pa.array(self.text_noise, pa.bool_())],
             names=["s", "owner", "noise"],
         )
-        attrs = pa.MapArray.from_arrays(
-            pa.array(self.attr_offsets, pa.int32()), pa.array(self.keys, pa.string()), pa.array(self.values, pa.string())
-        )
+        keys, values = pa.array(self.keys, pa.string()), pa.array(self.values, pa.string())
+        attrs = pa.MapArray.from_arrays(pa.array(self.attr_offsets, pa.int32()), keys, values)
+        tags, classes = pa.array(self.tag, pa.string()), pa.array(self.cls, pa.string())
         anc = pa.ListArray.from_arrays(pa.array(self.anc_offsets, pa.int32()), pa.array(self.anc, pa.int32()))
         nodes = pa.StructArray.from_arrays(
             [
                 pa.array(self.i, pa.int32()),
                 pa.array(self.last, pa.int32()),
-                pa.array(self.tag, pa.string()),
-                pa.array(self.cls, pa.string()),
+                tags,
+                classes,
                 attrs,
                 pa.array(self.noise, pa.bool_()),
                 pa.array(self.t0, pa.int32()),
@@ -135,9 +136,67 @@ class _Columns:
         return [
             pa.ListArray.from_arrays(pa.array(self.text_offsets, pa.int32()), texts),
             pa.ListArray.from_arrays(pa.array(self.node_offsets, pa.int32()), nodes),
+            page_index(np.array(self.node_offsets), tags, classes, np.array(self.attr_offsets), keys, values),
         ]
 
 
+class _Tags:
+    """Reads the tag or comment at a ``<``. All reads of a page together take time in proportion to its length.
+
+    A read that succeeds is not repeated, and one that fails is cut short by what earlier reads have learned: where the
+    next ``>`` is, where the last quote of each kind is, and from which places no tag can be completed.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.next_close = -1
+        self.last_quote = {quote: source.rfind(quote) for quote in "\"'"}
+        self.hopeless: set[int] = set()
+
+    def close(self, at: int) -> int:
+        """Position of the first ``>`` from ``at`` on, or the page's length."""
+        if self.next_close < at:
+            found = self.source.find(">", at)
+            self.next_close = found if found >= 0 else len(self.source)
+        return self.next_close
+
+    def read(self, at: int) -> tuple[str, str, str, int] | None:
+        """(kind, name, attributes, position after it); None where the ``<`` is text."""
+        source, lead = self.source, self.source[at + 1 : at + 2]
+        if lead == "!" and source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            return "comment", "", "", end + 3 if end >= 0 else len(source)
+        close = self.close(at + 1)
+        if close == len(source):
+            return None
+        if lead in ("!", "?"):
+            return "comment", "", "", close + 1
+        name = _NAME.match(source, at + 2 if lead == "/" else at + 1)
+        if name is None:
+            return None
+        if lead == "/":
+            return "end", name[0].lower(), "", close + 1
+        end = self.tag_end(name.end())
+        end = close if end < 0 else end
+        return "start", name[0].lower(), source[name.end() : end], end + 1
+
+    def tag_end(self, at: int) -> int:
+        """Position of the first ``>`` outside quotes, or -1 where a quote before it is never closed."""
+        source, passed = self.source, []
+        while at not in self.hopeless:
+            mark = _MARK.search(source, at)
+            if mark is None:
+                break
+            if mark[0] == ">":
+                return mark.start()
+            if self.last_quote[mark[0]] <= mark.start():
+                break
+            at = source.find(mark[0], mark.end()) + 1
+            passed.append(at)
+        self.hopeless.update(passed)
+        return -1
+
+
 class _Reader:
     """Open-element stack for one page."""
 
@@ -146,36 +205,40 @@ class _Reader:
         self.node_base, self.text_base = len(out.tag), len(out.s)
         self.names: list[str] = []
         self.ids: list[int] = []
+        # Where in the stack each tag is open, where tags with a rank of their own are, and all that are not inline.
+        self.open: defaultdict[str, list[int]] = defaultdict(list)
+        self.ranked: dict[int, list[int]] = {rank: [] for rank in END_RANK.values()}
+        self.barriers: list[int] = []
         self.noise_depth = 0
         self.owners: list[str] = []
         self.seen_head = self.seen_body = False
         self.pending: list[str] = []
 
     def read(self, source: str) -> None:
-        position, size = 0, len(source)
-        while position < size:
-            token = _TOKEN.search(source, position)
+        tags, size = _Tags(source), len(source)
+        position, at = 0, source.find("<")
+        while at >= 0:
+            token = tags.read(at)
             if token is None:
-                break
-            if token.start() > position:
-                self.pending.append(source[position : token.start()])
-            position = token.end()
-            name = token["start"] or token["bare"]
-            if name:
-                tag = name.lower()
-                attrs = token["attrs"] if token["start"] else token["rest"]
-                self.start(tag, attrs)
-                if tag in RAW_TEXT and self.names and self.names[-1] == tag:
-                    end = _RAW_END[tag].search(source, position)
+                at = source.find("<", at + 1)
+                continue
+            if at > position:
+                self.pending.append(source[position:at])
+            kind, name, attrs, position = token
+            if kind == "start":
+                self.start(name, attrs)
+                if name in RAW_TEXT and self.names and self.names[-1] == name:
+                    end = _RAW_END[name].search(source, position)
                     stop = end.start() if end else size
                     self.pending.append(source[position:stop])
                     self.flush(raw=True)
                     self.close_to(len(self.names) - 1)
                     position = end.end() if end else size
-            elif token["end"]:
-                self.end(token["end"].lower())
+            elif kind == "end":
+                self.end(name)
             else:
                 self.flush()
+            at = source.find("<", position)
         if position < size:
             self.pending.append(source[position:])
         self.flush()
@@ -238,27 +301,20 @@ class _Reader:
             self.close_to(len(self.names) - 1)
 
     def close_implied(self, ends: frozenset[str]) -> None:
-        cut, k = None, len(self.names) - 1
-        while k > 0:
-            if self.names[k] in ends:
-                cut = k
-            elif self.names[k] not in INLINE:
-                break
-            k -= 1
-        if cut is not None:
-            self.close_to(cut)
+        """Close from the outermost element of ``ends`` on that only such and inline elements follow."""
+        barrier = next((k for k in reversed(self.barriers) if self.names[k] not in ends), 0)
+        found = [places[bisect_right(places, barrier)] for tag in ends if (places := self.open[tag]) and places[-1] > barrier]
+        if found:
+            self.close_to(min(found))
 
     def end(self, tag: str) -> None:
-        if tag in ("html", "body") or tag in VOID:
+        places = self.open[tag]
+        if not places or tag in ("html", "body") or tag in VOID:
             return
         rank = END_RANK.get(tag, DEFAULT_RANK)
-        for k in range(len(self.names) - 1, -1, -1):
-            if self.names[k] == tag:
-                self.flush()
-                self.close_to(k)
-                return
-            if END_RANK.get(self.names[k], DEFAULT_RANK) > rank:
-                return
+        if not any(of > rank and above and above[-1] > places[-1] for of, above in self.ranked.items()):
+            self.flush()
+            self.close_to(places[-1])
 
     def push(self, tag: str, attrs: dict[str, str]) -> None:
         out = self.out
@@ -281,6 +337,12 @@ class _Reader:
         else:
             out.anc_offsets[-1] = None
         out.anc_offsets.append(len(out.anc))
+        depth = len(self.names)
+        self.open[tag].append(depth)
+        if tag in END_RANK:
+            self.ranked[END_RANK[tag]].append(depth)
+        if tag not in INLINE:
+            self.barriers.append(depth)
         self.names.append(tag)
         self.ids.append(node)
         if tag in TEXT_OWNERS:
@@ -291,6 +353,11 @@ class _Reader:
         out = self.out
         while len(self.names) > depth:
             tag, node = self.names.pop(), self.ids.pop() + self.node_base
+            self.open[tag].pop()
+            if tag in END_RANK:
+                self.ranked[END_RANK[tag]].pop()
+            if tag not in INLINE:
+                self.barriers.pop()
             out.t1[node] = len(out.s) - self.text_base
             out.last[node] = len(out.tag) - self.node_base - 1
             if tag in NOISE:
@@ -305,16 +372,21 @@ def ancestors(nodes: Column, node: Column) -> Column:
     return F.coalesce(node.anc, F.transform(above, lambda other: other.i))
 
 
+#: Columns that parsing adds.
+PARSED = ["texts", "nodes", "places"]
 # Nodes per output batch; a single larger page still becomes one batch.
 _NODES_PER_BATCH = 100_000
 
 
 def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """Replace the HTML column by ``texts`` and ``nodes``; every other column passes through."""
+    """Replace the HTML column by ``texts``, ``nodes`` and ``places`` (the index of the nodes); every other column passes through."""
     kept = [field for field in pages.schema.fields if field.name != html_col]
     names = [field.name for field in kept]
     schema = T.StructType(
-        kept + [T.StructField("texts", T.ArrayType(TEXT_TYPE)), T.StructField("nodes", T.ArrayType(NODE_TYPE))]
+        kept + [
+            T.StructField("texts", T.ArrayType(TEXT_TYPE)), T.StructField("nodes", T.ArrayType(NODE_TYPE)),
+            T.StructField("places", PLACES_TYPE),
+        ]
     )
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +398,7 @@ def parse_html(pages: DataFrame, html_col: str = "html") -> DataFrame:
                 if len(out.tag) >= _NODES_PER_BATCH or row == batch.num_rows - 1:
                     part = batch.slice(start, row + 1 - start)
                     passed = [part.column(part.schema.get_field_index(name)) for name in names]
-                    yield pa.RecordBatch.from_arrays(passed + out.arrays(), names=names + ["texts", "nodes"])
+                    yield pa.RecordBatch.from_arrays(passed + out.arrays(), names=names + PARSED)
                     start, out = row + 1, _Columns()
 
     return pages.mapInArrow(parse, schema)

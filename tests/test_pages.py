@@ -38,7 +38,7 @@ def test_selectors_in_document_order(dom):
     nodes, texts = F.col("nodes"), F.col("texts")
     found = F.transform(
         selectors,
-        lambda s: F.transform(select_nodes(nodes, texts, parse_selector(s)), lambda n: node_text(texts, n)),
+        lambda s: F.transform(select_nodes(nodes, texts, F.col("places"), parse_selector(s)), lambda n: node_text(texts, n)),
     )
     assert dom.select(found.alias("found")).first().found == list(expected.values())
 
@@ -141,7 +141,7 @@ def test_deep_pages_keep_their_text_and_ancestors(spark):
     nodes, texts = F.col("nodes"), F.col("texts")
 
     def texts_of(selector):
-        return F.transform(select_nodes(nodes, texts, parse_selector(F.lit(selector))), lambda n: node_text(texts, n))
+        return F.transform(select_nodes(nodes, texts, F.col("places"), parse_selector(F.lit(selector))), lambda n: node_text(texts, n))
 
     row = dom.select(
         texts_of(".d0").alias("outer"), texts_of(".d3 .d390 b").alias("below"), texts_of(".d398 > .d399 > b").alias("child"),
