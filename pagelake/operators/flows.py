@@ -6,27 +6,29 @@ Live fetching is replaced by equi-joins on the requested URL against parsed snap
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagelake.functions.css import attr, parse_selector, sanitize_selector
 from pagelake.functions.text import empty_to_null
 from pagelake.functions.urls import final_or_requested, request_url, resolve_url
 from pagelake.operators.extract import (
-    ALL_IMAGES, FIELD, PRIMARY_IMAGE, Page, added_field, extract_record, fields_of, inline_records,
+    ALL_IMAGES, FIELD, PRIMARY_IMAGE, Page, added_field, extract_record, fields_of, inline_records, with_parsed,
 )
-from pagelake.session import write_through
-from pagelake.sources.html import parse_html
+from pagelake.session import narrow_side, write_through
+from pagelake.sources.html import PARSED, parse_html
 from pagelake.sources.snapshots import one_per_request
 
 # List pages visited per start, and the gallery selector when a strategy has none.
 MAX_PAGE_VISITS = 5
 ANY_IMAGE = "img"
+# Keys of a hundred bytes or so, and plans of a few kilobytes, that are broadcast to the pages.
+FEW_PAIRS, FEW_WAYS = 200_000, 5_000
 RECORD = "array<struct<field:string,kind:string,s:string,xs:array<string>>>"
 
 
 def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Snapshots as (url_key, base_url, has_html, texts, nodes): what the flows join against."""
+    """Snapshots as (url_key, base_url, has_html, texts, nodes, places): what the flows join against."""
     keyed = one_per_request(snapshots).select(
         F.col("request_url").alias("url_key"),
         final_or_requested(F.col("final_url"), F.col("requested_url")).alias("base_url"),
@@ -62,7 +64,7 @@ def page_record(strategy: Column, base_url: str = "base_url") -> Column:
 
 def single_page_records(rows: DataFrame) -> DataFrame:
     """One record per row that has a page; rows carry base_url, has_html, texts, nodes, strategy."""
-    kept = [c for c in rows.columns if c not in ("texts", "nodes", "has_html", "strategy", "base_url", "url_key", "page_type")]
+    kept = [c for c in rows.columns if c not in (*PARSED, "has_html", "strategy", "base_url", "url_key", "page_type")]
     return rows.filter(F.col("has_html")).select(
         *kept, F.lit(0).alias("record_no"), F.col("base_url").alias("page_url"),
         page_record(F.col("strategy")).alias("record"),
@@ -85,76 +87,144 @@ def _positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
+def _key(*parts: Column) -> Column:
+    return F.sha2(F.to_json(F.struct(*parts)), 256)
+
+
 def walk_plans(starts: DataFrame) -> DataFrame:
-    """What a walk needs of its strategy, with the selectors parsed once: one narrow row per walk."""
+    """What a walk needs of its strategy, one narrow row per walk.
+
+    Walks that read list pages alike share ``reading_key``, those that read detail pages alike ``detail_key``; what
+    a key stands for is in the row's ``strategy``, and is worked out once per key (``_plan_of_each``).
+    """
     strategy = F.col("strategy")
-    return starts.select(
-        "walk_id", "url", "strategy",
-        follows_links(strategy).alias("follows"), parse_selector(strategy.item_link_selector).alias("links"), strategy.max_depth.alias("max_depth"),
-        parse_selector(strategy.pagination_selector).alias("pagination"),
-        F.least(F.coalesce(_positive(strategy.max_pages), F.lit(1)), F.lit(MAX_PAGE_VISITS)).alias("max_pages"),
-        strategy.max_items.alias("max_items"), fields_of(strategy).cast(f"array<{FIELD}>").alias("inline_fields"),
+    plans = starts.select(
+        "walk_id", "url", "strategy", request_url("url").alias("start_key"), sanitize_selector(strategy.pagination_selector).alias("next_selector"),
+        F.least(F.coalesce(_positive(strategy.max_pages), F.lit(1)), F.lit(MAX_PAGE_VISITS)).alias("max_pages"), strategy.max_items.alias("max_items"),
     )
+    selectors = [F.map_entries(strategy[name]).alias(name) for name in ("field_selectors", "field_methods", "field_limits", "fallback_selectors")]
+    limits = [strategy.max_items.alias("max_items"), strategy.max_depth.alias("max_depth")]
+    return plans.withColumns({
+        "reading_key": _key(sanitize_selector(strategy.item_link_selector).alias("links"), *limits, *selectors),
+        "detail_key": _key(strategy.primary_image_field.alias("field"), strategy.primary_image_selector.alias("image"), limits[0], *selectors),
+    })
 
 
-def _reading() -> list[Column]:
-    """What a visited page says; built once, as the same expressions serve every round."""
-    page = Page("base_url")
-    return [
-        F.when(F.col("follows"), detail_targets(page, F.col("links"), F.col("max_depth"))).alias("targets"),
-        F.when(~F.col("follows"), inline_records(page, F.col("inline_fields"), F.col("max_items"))).cast(f"array<{RECORD}>").alias("inline"),
-        resolve_url(page.base, attr(page.first(F.col("pagination")), "href")).alias("next_url"),
-    ]
+def _plan_of_each(plans: DataFrame, key: str, *columns: Column) -> DataFrame:
+    """The columns worked out for one strategy of each key; there are as many rows as different plans."""
+    one = plans.groupBy(key).agg(F.min_by("strategy", "walk_id").alias("strategy"))
+    return one.select(key, *columns)
+
+
+def _host(url: Column | str) -> Column:
+    return F.regexp_extract(url, r"^([^/?#]*//[^/?#]*)", 1)
+
 
+def page_links(doms: DataFrame, wanted: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Next links of the stored pages as edges: (next_selector, url_key, next_key).
 
-def _visit(frontier: DataFrame, plans: DataFrame, doms: DataFrame, reading: list[Column]) -> DataFrame:
-    """Join the frontier with its plans and pages; read items and next link from each page."""
-    return (
-        frontier.withColumn("url_key", request_url("target")).join(plans, "walk_id").join(doms.drop("has_html"), "url_key")
-        .filter(~F.array_contains("visited", F.col("base_url")))
-        .select("walk_id", "page_no", "n_before", "base_url", F.array_append("visited", F.col("base_url")).alias("visited"), "max_pages", "max_items", *reading)
+    ``wanted`` has (host, next_selector). Every page of a host is read once for each selector of the host. Where links
+    lead to other hosts the selector is wanted there as well, so those pages are read too. An action.
+    """
+    page, wanted = Page("base_url"), wanted.distinct()
+    links = known = None
+    for _ in range(MAX_PAGE_VISITS):
+        asked = wanted.withColumn("selector", parse_selector("next_selector"))
+        next_url = resolve_url(page.base, attr(page.first(F.col("selector")), "href"))
+        read = doms.withColumn("host", _host("url_key")).join(asked, "host").select("next_selector", "url_key", request_url(next_url).alias("next_key"))
+        read = write_through(read.where("next_key is not null"), "links", folders)
+        links = read if links is None else links.unionByName(read)
+        known = wanted if known is None else known.unionByName(wanted)
+        elsewhere = read.where(_host("next_key") != _host("url_key")).select(_host("next_key").alias("host"), "next_selector").distinct()
+        wanted = elsewhere.join(known, ["host", "next_selector"], "left_anti")
+        if wanted.isEmpty():
+            break
+    return links
+
+
+def _paths(links: DataFrame, doms: DataFrame) -> DataFrame:
+    """(next_selector, url_key, path): the stored pages that next links lead to, up to the most that a walk visits.
+
+    By pointer doubling: paths of one page are joined to paths of two, and these to paths of four.
+    """
+    target = doms.select(F.col("url_key").alias("next_key"), F.struct("url_key", "base_url").alias("page"))
+    paths, reach = links.join(target, "next_key").select("next_selector", "url_key", F.array("page").alias("path")), 1
+    while reach < MAX_PAGE_VISITS - 1:
+        onward = paths.select("next_selector", F.col("url_key").alias("last"), F.col("path").alias("rest"))
+        paths = paths.withColumn("last", F.element_at("path", -1).url_key).join(onward, ["next_selector", "last"], "left").select(
+            "next_selector", "url_key", F.coalesce(F.concat("path", "rest"), "path").alias("path"),
+        )
+        reach *= 2
+    return paths
+
+
+def visited_pages(plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """The stored pages each walk would visit if it had no ``max_items``, as (walk_id, page_no, url_key, base_url) with the
+    walk's reading_key and max_items. An action."""
+    several = plans.where("max_pages > 1")
+    links = page_links(doms, several.select(_host("start_key").alias("host"), "next_selector"), folders)
+    start = doms.select(F.col("url_key").alias("start_key"), F.array(F.struct("url_key", "base_url")).alias("start"))
+    onward = _paths(links, doms).withColumnRenamed("url_key", "start_key")
+    pages = plans.drop("url", "strategy", "detail_key").join(start, "start_key").join(onward, ["next_selector", "start_key"], "left").select(
+        "walk_id", "reading_key", "max_items", "max_pages", F.coalesce(F.concat("start", "path"), "start").alias("pages"),
     )
+    # A walk ends before a page it has seen.
+    bases = F.transform("pages", lambda p: p.base_url)
+    again = F.array_position(F.transform(bases, lambda b, n: F.array_position(bases, b) == n + 1), False)
+    until = F.least(F.when(again > 0, again - 1).otherwise(F.size("pages")), F.col("max_pages"))
+    kept = ["walk_id", "reading_key", "max_items"]
+    return pages.select(*kept, F.posexplode(F.slice("pages", 1, until.cast("int"))).alias("page_no", "page")).select(*kept, "page_no", "page.*")
+
+
+def _pages_of(pairs: DataFrame, most_pairs: int, ways: DataFrame, most_ways: int, doms: DataFrame) -> DataFrame:
+    """Parsed pages of (page, way of reading) pairs with the way's columns; only keys and ways are moved, as long as they are few."""
+    key = next(c for c in pairs.columns if c != "url_key")
+    pages = doms.drop("has_html").join(narrow_side(pairs, most_pairs, FEW_PAIRS), "url_key")
+    return pages.join(narrow_side(ways, most_ways, FEW_WAYS), key)
+
 
+def read_lists(visits: DataFrame, plans: DataFrame, doms: DataFrame) -> DataFrame:
+    """What the visited pages say: (url_key, reading_key, stored, missed, inline), one row per page and way of reading it.
 
-def _stored_targets(visits: DataFrame, doms: DataFrame) -> DataFrame:
-    """Splits each visit's targets into ``stored`` and ``missed`` by whether their page is among the snapshots."""
-    links = visits.select("walk_id", F.posexplode("targets").alias("pos", "target")).withColumn("url_key", request_url("target"))
-    marked = links.join(doms.select("url_key", F.lit(True).alias("known")), "url_key", "left")
+    ``stored`` and ``missed`` are the targets of the item links, by whether their page is among the snapshots.
+    """
+    page, strategy = Page("base_url"), F.col("strategy")
+    ways = _plan_of_each(
+        plans, "reading_key", follows_links(strategy).alias("follows"), parse_selector(strategy.item_link_selector).alias("links"),
+        strategy.max_depth.alias("max_depth"), strategy.max_items.alias("max_items"), with_parsed(fields_of(strategy)).alias("inline_fields"),
+    )
+    pairs = visits.select("url_key", "reading_key").distinct()
+    read = _pages_of(pairs, visits.count(), ways, plans.count(), doms).select(
+        "url_key", "reading_key", F.when(F.col("follows"), detail_targets(page, F.col("links"), F.col("max_depth"))).alias("targets"),
+        F.when(~F.col("follows"), inline_records(page, F.col("inline_fields"), F.col("max_items"))).cast(f"array<{RECORD}>").alias("inline"),
+    )
+    links = read.select("url_key", "reading_key", "inline", F.posexplode_outer("targets").alias("pos", "target")).withColumn("target_key", request_url("target"))
+    marked = links.join(doms.select(F.col("url_key").alias("target_key"), F.lit(True).alias("known")), "target_key", "left")
     entry = F.struct("pos", "target")
     # A page has at most max_depth targets.
-    split = marked.groupBy("walk_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("known"), entry))).alias("stored"),
-        F.array_sort(F.collect_list(F.when(F.col("known").isNull(), entry))).alias("missed"),
+    split = marked.groupBy("url_key", "reading_key").agg(
+        F.first("inline").alias("inline"), F.array_sort(F.collect_list(F.when(F.col("known"), entry))).alias("stored"),
+        F.array_sort(F.collect_list(F.when(F.col("known").isNull() & F.col("target").isNotNull(), entry))).alias("missed"),
     )
-    none = F.array().cast("array<string>")
-    named = lambda c: F.coalesce(F.col(f"{c}.target"), none).alias(c)
-    return visits.drop("targets").join(split, "walk_id", "left").select("*", named("stored").alias("_s"), named("missed").alias("_m")).drop("stored", "missed").withColumnsRenamed({"_s": "stored", "_m": "missed"})
+    return split.select("url_key", "reading_key", F.col("stored.target").alias("stored"), F.col("missed.target").alias("missed"), "inline")
 
 
 def walk_lists(plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
-    """Visit list pages along their next links, at most five per start, never one URL twice. An action: it runs the rounds.
+    """Visit list pages along their next links, at most five per start, never one URL twice. An action.
 
-    Only targets whose page is stored count toward ``max_items``, since only they give records. Each round joins the
-    walks still going with their plan and page, and is written through so the next does not repeat it. ``plans`` and
-    ``doms`` should be stored: every round reads them. Result: one row per visited page.
+    Which pages a walk meets is worked out on links alone; each page is read once for every way of reading it, and sums
+    over a walk's pages decide where ``max_items`` ends it. Only targets whose page is stored count, since only they
+    give records. ``plans`` and ``doms`` should be stored. Result: one row per visited page.
     """
-    frontier = plans.select(
-        "walk_id", F.col("url").alias("target"), F.lit(0).alias("page_no"), F.lit(0).alias("n_before"), F.array().cast("array<string>").alias("visited"),
-    )
-    reading, visited_pages = _reading(), None
-    for _ in range(MAX_PAGE_VISITS):
-        read = write_through(_visit(frontier, plans, doms, reading), "visit", folders)
-        found = F.size("stored") + F.coalesce(F.when(F.size("inline") > 0, F.size("inline")), F.lit(0))
-        visits = write_through(_stored_targets(read, doms).withColumn("n_after", F.col("n_before") + found), "visits", folders)
-        visited_pages = visits if visited_pages is None else visited_pages.unionByName(visits)
-        full = F.coalesce(F.col("n_after") >= _positive(F.col("max_items")), F.lit(False))
-        going_on = ~full & (F.col("page_no") + 1 < F.col("max_pages")) & F.col("next_url").isNotNull()
-        frontier = visits.filter(going_on).select(
-            "walk_id", F.col("next_url").alias("target"), (F.col("page_no") + 1).alias("page_no"), F.col("n_after").alias("n_before"), "visited",
-        )
-        if frontier.isEmpty():
-            break
-    return visited_pages
+    met = write_through(visited_pages(plans, doms, folders), "met", folders)
+    read = write_through(read_lists(met, plans, doms), "read", folders)
+    visits = met.join(read, ["url_key", "reading_key"])
+    found = F.size("stored") + F.coalesce(F.when(F.size("inline") > 0, F.size("inline")), F.lit(0))
+    # At most five rows a walk.
+    so_far = F.sum("found").over(Window.partitionBy("walk_id").orderBy("page_no")).cast("int")
+    counted = visits.withColumn("found", found).withColumn("n_after", so_far).withColumn("n_before", F.col("n_after") - F.col("found"))
+    going_on = (F.col("page_no") == 0) | F.coalesce(F.col("n_before") < _positive(F.col("max_items")), F.lit(True))
+    return counted.where(going_on).select("walk_id", "page_no", "base_url", "max_items", "n_before", "n_after", "stored", "missed", "inline")
 
 
 def _within_max_items(df: DataFrame) -> DataFrame:
@@ -173,19 +243,13 @@ def follow_details(links: DataFrame, plans: DataFrame, doms: DataFrame) -> DataF
     Many links may lead to one page, so each (page, plan) pair is reduced to one row before the
     page is joined and read; the link rows are then matched with the finished records.
     """
-    plan = F.struct(
-        planned_fields(F.col("strategy"), with_images=False).cast(f"array<{FIELD}>").alias("fields"), F.col("max_items").alias("max_items")
-    )
-    named = plans.select("walk_id", plan.alias("plan")).withColumn("plan_key", F.sha2(F.to_json("plan"), 256))
-    keyed = links.select("walk_id", "record_no", request_url("target").alias("url_key")).join(named, "walk_id")
-    jobs = keyed.groupBy("url_key", "plan_key").agg(F.first("plan").alias("plan"))
-    read = jobs.join(doms.drop("has_html"), "url_key").select(
-        "url_key", "plan_key", F.col("base_url").alias("page_url"),
-        extract_record(Page("base_url"), F.col("plan.fields"), F.col("plan.max_items")).alias("record"),
-    )
-    return keyed.select("walk_id", "record_no", "url_key", "plan_key").join(read, ["url_key", "plan_key"]).select(
-        "walk_id", "record_no", "page_url", "record"
+    fields = with_parsed(planned_fields(F.col("strategy"), with_images=False))
+    ways = _plan_of_each(plans, "detail_key", fields.alias("fields"), F.col("strategy").max_items.alias("max_items"))
+    keyed = links.select("walk_id", "record_no", request_url("target").alias("url_key")).join(plans.select("walk_id", "detail_key"), "walk_id")
+    read = _pages_of(keyed.select("url_key", "detail_key").distinct(), links.count(), ways, plans.count(), doms).select(
+        "url_key", "detail_key", F.col("base_url").alias("page_url"), extract_record(Page("base_url"), F.col("fields"), F.col("max_items")).alias("record"),
     )
+    return keyed.join(read, ["url_key", "detail_key"]).select("walk_id", "record_no", "page_url", "record")
 
 
 def missed_links(visits: DataFrame) -> DataFrame:
@@ -211,9 +275,9 @@ def list_records(starts: DataFrame, doms: DataFrame, folders: list[str] | None =
         ).withColumn("record_no", F.col("n_before") + F.col("pos"))
     ).select("walk_id", "record_no", "page_url", "record")
     fruitful = visits.filter(F.col("n_after") > 0).select("walk_id").distinct()
-    barren = plans.select("walk_id", "url", "strategy").join(fruitful, "walk_id", "left_anti").withColumn("url_key", request_url("url"))
+    barren = plans.select("walk_id", F.col("start_key").alias("url_key"), "strategy").join(fruitful, "walk_id", "left_anti")
     own = (
-        barren.join(doms, "url_key")
+        doms.join(narrow_side(barren, plans.count(), FEW_WAYS), "url_key")
         .filter("has_html")
         .select("walk_id", F.lit(0).alias("record_no"), F.col("base_url").alias("page_url"),
                 page_record(F.col("strategy")).alias("record"))

@@ -56,7 +56,7 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_through(parsed_snapshots(corpora.spread(corpora.shop_snapshots(spark, sf_dir))), "doms")
+    return write_through(parsed_snapshots(corpora.shop_snapshots(spark, sf_dir)), "doms")
 
 
 @query(

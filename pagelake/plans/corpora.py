@@ -21,8 +21,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked_partitions(spark: SparkSession) -> int | None:
-    """Spark's own ``spark.sql.files.minPartitionNum``, where the session sets it: the driver tables are single row groups."""
-    asked = spark.conf.get("spark.sql.files.minPartitionNum", None)
+    """``spark.pagelake.scanPartitions``, where the session sets it: for stores of few large row groups, which scans cannot split."""
+    asked = spark.conf.get("spark.pagelake.scanPartitions", None)
     return int(asked) if asked else None
 
 
@@ -118,7 +118,7 @@ def order_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority"), "</span><time>", F.date_format("o_orderdate", "yyyy-MM-dd"),
         "</time></article></body></html>",
     )
-    return table(spark, sf_dir, "orders").select(text(SHOP, "/orders/", key).alias("requested_url"), html.alias("html"))
+    return spread(table(spark, sf_dir, "orders")).select(text(SHOP, "/orders/", key).alias("requested_url"), html.alias("html"))
 
 
 def list_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

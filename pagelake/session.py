@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SESSION_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
@@ -59,3 +60,12 @@ def write_through(df: DataFrame, name: str = "step", folders: list[str] | None =
     if folders is not None:
         folders.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def narrow_side(rows: DataFrame, at_most: int, limit: int) -> DataFrame:
+    """The narrow side of a join with parsed pages, which must not be the side that moves.
+
+    Pages are stored compressed, so the planner takes them for much smaller than they are and might send them out instead.
+    ``at_most`` is a known bound of the row count: up to ``limit`` rows are broadcast, more are hashed by a shuffled join.
+    """
+    return F.broadcast(rows) if at_most <= limit else rows.hint("shuffle_hash")
