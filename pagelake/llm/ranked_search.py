@@ -43,6 +43,7 @@ DENSE_TERMS, DIMENSIONS = 128, 32
 SAMPLE_DOCS = 4096
 #: Fixed values of the score: impact scale, saturation, and the shares of fixed and relative length.
 IMPACT, SATURATION, DAMPING, LENGTH_SHARE = 1_000_000_000, 1000, 20, 50
+IMPACT_BITS = 20  # an impact is below IMPACT / SATURATION
 
 _AS_WORDS = np.full(256, 0x20, np.uint8)
 for _low, _high in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
@@ -195,15 +196,19 @@ class Segment:
             high = int(np.searchsorted(self.starts, self.starts[low] + np.searchsorted(reach, 1 << 20), side="right")) - 1
             high = min(max(high, low + 1), rare_blocks)
             docs = self.docs[self.starts[low] : self.starts[high]]
+            # Of a list only the coordinates of its own term and later ones are asked for.
             block = np.repeat(np.arange(low, high), np.diff(self.starts[low : high + 1]))
+            own = self.lists[np.searchsorted(self.first_block, block, side="right") - 1]
             times = rare_edges[docs + 1] - rare_edges[docs]
             at = np.repeat(rare_edges[docs] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            key = np.repeat(block, times) * v + rare_terms[at]
-            order = np.lexsort((rare_impacts[at], key))
-            key, value = key[order], rare_impacts[at][order]
+            later = rare_terms[at] >= np.repeat(own, times)
+            # Key and impact in one number each, so that one plain sort puts the largest impact of a key last.
+            entry = ((np.repeat(block, times)[later] * v + rare_terms[at][later]) << IMPACT_BITS) | rare_impacts[at][later]
+            entry.sort()
+            key = entry >> IMPACT_BITS
             last = np.append(key[1:] != key[:-1], True) if len(key) else np.zeros(0, bool)
             keys.append(key[last])
-            values.append(value[last])
+            values.append(entry[last] & ((1 << IMPACT_BITS) - 1))
             low = high
         self.rare_keys, self.rare_values = np.concatenate(keys), np.concatenate(values)
 
