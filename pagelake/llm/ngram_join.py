@@ -3,7 +3,8 @@
 Two documents link when their sets of distinct shingles have a Jaccard similarity of ``percent`` or more. The
 join gives every document the smallest id that links can reach.
 
-1. Documents with equal sets form a class, found by a 128-bit fingerprint; only the class's smallest id goes on.
+1. Documents with equal sets form a class, found by a 128-bit fingerprint; only one text of the class goes on, under the
+   class's own number.
 2. Prefixes. Under one order of all shingles, linked documents share a shingle among the first
    ``n - ceil(t n) + 1`` of each. Where a document's prefix would hold expensive shingles (their candidate cost,
    the number of documents that have them, is estimated by a count sketch over all documents), the prefix is
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.components import components
@@ -68,19 +69,19 @@ def _sketch_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _first_pass(size: int):
-    """Per document its set size and fingerprint; per task the count sketch of all its shingles, in chunks."""
+    """Per row (id, text, hash of the text) its set size and fingerprint; per task the count sketch of all its shingles, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << SKETCH_BITS), np.int64)
-        names = ["id", "n", "f1", "f2", "chunk", "counts"]
+        names = ["id", "h", "n", "f1", "f2", "chunk", "counts"]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
+            ids, texts, own = batch.column(0), batch.column(1), batch.column(2)
             for first, sets, bounds in shingle_sets(texts, size):
                 for k, places in enumerate(_sketch_places(sets)):
                     counts[k] += np.bincount(places, minlength=1 << SKETCH_BITS)
                 rows = len(bounds) - 1
                 yield pa.RecordBatch.from_arrays([
-                    ids.slice(first, rows), pa.array(np.diff(bounds), pa.int64()),
+                    ids.slice(first, rows), own.slice(first, rows), pa.array(np.diff(bounds), pa.int64()),
                     pa.array(_row_sums(mixed(sets), bounds).view(np.int64)), pa.array(_row_sums(mixed(sets ^ SECOND), bounds).view(np.int64)),
                     pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()),
                 ], names=names)
@@ -88,8 +89,7 @@ def _first_pass(size: int):
             parts = counts.reshape(SKETCH_CHUNKS, -1).astype("<u4")
             n = len(parts)
             yield pa.RecordBatch.from_arrays([
-                pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                pa.array(np.arange(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
+                *[pa.nulls(n, pa.int64())] * 5, pa.array(np.arange(n), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()),
             ], names=names)
 
     return run
@@ -358,38 +358,40 @@ def _grouped_links(size: int, percent: int):
     return run
 
 
-def similar_components(
-    docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
-    doc_id: str = "doc_id", text: str = "text",
-) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
+
 
-    A null text and a text without words have an empty set and link with nothing. Rows with a null id take the
-    component of their class where it has an id, else null. Repeated rows are repeated. Other columns are not
-    read. Actions: the intermediate tables are written below the shared folder.
+def _classes_and_components(docs: DataFrame, size: int, percent: int, block_docs: int, block_shingles: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n, f1, f2) of every row, and for every class (f1, f2) the row that stands for its component, as best.id and best.h.
+
+    ``h`` is a hash of the row's text; rows of one id with different texts are told apart by it. The best row of
+    a component has the smallest id, rows without an id last.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"))
-    first = write_through(source.mapInArrow(_first_pass(size), "id long, n long, f1 long, f2 long, chunk int, counts binary"), "sets", trash := [])
-    members = first.where("chunk is null").select("id", "n", "f1", "f2")
+    source = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("body"), _text_hash(F.col(text)).alias("h"))
+    first = write_through(source.mapInArrow(_first_pass(size), "id long, h long, n long, f1 long, f2 long, chunk int, counts binary"), "sets", trash := [])
+    members = first.where("chunk is null").select("id", "h", "n", "f1", "f2")
     chunks = first.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(_summed_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros((SKETCH_CHUNKS, 2 * (1 << SKETCH_BITS) // SKETCH_CHUNKS), np.int64)
     for row in chunks:
         sketch[row["chunk"]] = np.frombuffer(row["counts"], np.int64)
     shared = spark.sparkContext.broadcast(sketch.reshape(2, -1))
 
-    classes = write_through(members.where("n > 0").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.first("n").alias("n")).where("rep is not null"), "classes", trash)
-    # Two passes may read rows of one id apart, so a class's document is named by its id and its fingerprint.
-    named_once = members.join(classes.select(F.col("rep"), F.col("f1").alias("g1"), F.col("f2").alias("g2")), (F.col("id") == F.col("rep")) & (F.col("f1") == F.col("g1")) & (F.col("f2") == F.col("g2")), "left_semi").select("id").distinct()
-    chosen = source.join(named_once, "id", "left_semi")
+    # From here on a class goes by a number of its own, whatever ids its rows have.
+    best = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "h"))
+    classes = members.where("n > 0").groupBy("f1", "f2").agg(best.alias("best"), F.first("n").alias("n"))
+    classes = write_through(classes.withColumn("number", F.monotonically_increasing_id()), "classes", trash)
+    rep = classes.select(F.col("best.id").alias("rep"), F.col("best.h").alias("rep_h"), "number")
+    texts = source.join(rep, F.col("id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h"))).select(F.col("number").alias("id"), "body")
     bits = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     postings = (
-        chosen.mapInArrow(_second_pass(size, bits, shared), "bucket int, ids array<long>, data binary, id long, key long, cost long")
+        texts.mapInArrow(_second_pass(size, bits, shared), "bucket int, ids array<long>, data binary, id long, key long, cost long")
         .repartition(1 << bits, "bucket").sortWithinPartitions("bucket").mapInArrow(_repeated, "id long, key long, cost long, hot boolean")
     )
     # Cheapest first: shingles of one document alone, which tie nothing, then the repeated ones by their cost.
     listed = postings.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("hot", "cost", "key"))).alias("repeated"))
-    sizes = classes.groupBy(F.col("rep")).agg(F.max("n").alias("n"))
+    sizes = classes.select(F.col("number").alias("rep"), "n")
     taken = F.col("n") - F.ceil(F.col("n") * percent / 100) + 2 - (F.col("n") - F.size("repeated"))
     keys = listed.join(sizes, F.col("id") == F.col("rep")).withColumn("taken", taken.cast("int")).where("taken > 0").select(
         "id", F.xxhash64("id").alias("place"), F.explode(F.slice("repeated", 1, F.col("taken"))).alias("k"),
@@ -402,7 +404,7 @@ def similar_components(
     across = heads.join(pivots, F.col("key") == F.col("of")).where("a <> b").select("a", "b")
     groups = write_through(components(ties.where("key is null").select("a", "b").unionAll(across)), "groups", trash)
 
-    sized = groups.join(classes.select("rep", "n"), F.col("id") == F.col("rep")).select("id", "label", "n")
+    sized = groups.join(sizes, F.col("id") == F.col("rep")).select("id", "label", "n")
     blocks = sized.groupBy(F.col("label").alias("of")).agg(
         F.greatest(F.lit(1), F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("blocks"), F.count("*").alias("docs"),
     )
@@ -411,21 +413,53 @@ def similar_components(
         "id", "label", "blocks", F.pmod(F.xxhash64("id", F.lit(7)), F.col("blocks")).cast("int").alias("part"),
     ).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.col("id").alias("rep"), "label", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
-    texts = source.join(groups.select(F.col("id").alias("rep")), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
-    gathered = texts.join(dealt, F.col("id") == F.col("rep")).select("label", "i", "j", "id", "part", "body").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+    # Repeated rows of one id and one text stand for one class.
+    grouped = texts.join(groups.select(F.col("id").alias("rep")), F.col("id") == F.col("rep"), "left_semi").dropDuplicates(["id"])
+    gathered = grouped.join(dealt, F.col("id") == F.col("rep")).select("label", "i", "j", "id", "part", "body").repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     links = write_through(gathered.mapInArrow(_grouped_links(size, percent), "a long, b long"), "links", trash)
     reached = write_through(components(links), "reached")
     for folder in trash[2:]:
         remove_folder(spark, folder)
 
-    named = classes.join(reached, F.col("rep") == reached["id"], "left").select("f1", "f2", F.coalesce("label", "rep").alias("component"))
+    numbered = classes.join(reached, F.col("number") == reached["id"], "left").select("f1", "f2", "best", F.coalesce("label", "number").alias("label"))
+    whole = numbered.groupBy(F.col("label").alias("of")).agg(F.min("best").alias("best"))
+    return members, numbered.drop("best").join(whole, F.col("label") == F.col("of")).select("f1", "f2", "best")
+
+
+def similar_components(
+    docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included).
+
+    A null text and a text without words have an empty set and link with nothing. Rows that share an id but not the
+    text link each by its own text. Rows without an id link as all do, and their component is null only where no row
+    of it has an id. Repeated rows are repeated. Texts of any length are read whole. Other columns are not read.
+    Actions: the intermediate tables are written below the shared folder.
+    """
+    members, named = _classes_and_components(docs, size, percent, block_docs, block_shingles, doc_id, text)
     return members.join(named, ["f1", "f2"], "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("best.id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
-def one_per_component(docs: DataFrame, **options) -> DataFrame:
-    """Of each component the document with the smallest id, with the columns it came with; rows without words all stay."""
-    name = options.get("doc_id", "doc_id")
-    dropped = write_through(similar_components(docs, **options).where("component_id <> doc_id").select(F.col("doc_id").alias("__dropped")), "dropped")
-    return docs.join(dropped, docs[name] == F.col("__dropped"), "left_anti")
+def one_per_component(
+    docs: DataFrame, *, size: int = SIZE, percent: int = PERCENT, block_docs: int = BLOCK_DOCS, block_shingles: int = BLOCK_SHINGLES,
+    doc_id: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Of each component one row, that with the smallest id, with the columns it came with; rows without words all stay.
+
+    Where a component has no id at all, or rows are repeated, one of its rows stays all the same.
+    """
+    members, named = _classes_and_components(docs, size, percent, block_docs, block_shingles, doc_id, text)
+    worded = members.where("n > 0").join(named, ["f1", "f2"])
+    goes = ~(F.col("id").eqNullSafe(F.col("best.id")) & (F.col("h") == F.col("best.h")))
+    mark = lambda rows, *more: rows.select(F.col("id").alias("__id"), F.col("h").alias("__h"), *more)
+    dropped = write_through(mark(worded.where(goes)).distinct(), "dropped")
+    repeated = write_through(mark(worded.where(~goes)).groupBy("__id", "__h").count().where("count > 1").drop("count"), "repeated")
+    same = docs[doc_id].eqNullSafe(F.col("__id")) & (_text_hash(docs[text]) == F.col("__h"))
+    kept = docs.join(dropped, same, "left_anti")
+    if repeated.isEmpty():
+        return kept
+    one = docs.join(repeated, same).groupBy("__id", "__h").agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias("__row"))
+    return kept.join(repeated, same, "left_anti").unionByName(one.select("__row.*"))

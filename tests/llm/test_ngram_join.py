@@ -128,3 +128,27 @@ def test_empty_table_and_null_ids(spark):
     got = sorted(map(str, (tuple(r) for r in similar_components(docs).collect())))
     assert got == sorted(map(str, [(None, 2, 4), (4, 2, 4), (None, 1, None), (None, 0, None)]))
     assert similar_components(docs.limit(0)).collect() == []
+
+
+def test_rows_of_one_id_link_each_by_its_own_text(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b[:-1] + ["x"])), (3, " ".join(a[:-1] + ["y"])), (7, "c d e f g h"), (7, "c d e f g h"), (7, "other words of a kind")]
+    docs = spark.createDataFrame([(d, t, "x", 0) for d, t in rows], "doc_id long, text string, h string, number int").repartition(3)
+    want = sorted((d, n, {1: 1, 2: 1, 3: 1, 7: 7}[d]) for d, n, _ in brute(rows))
+    assert sorted(map(tuple, similar_components(docs).collect())) == want
+    kept = sorted((r.doc_id, r.text) for r in one_per_component(docs).collect())
+    # The two texts of document 1 are not similar, so both stay; of the repeated row one does.
+    assert kept == sorted([(1, rows[0][1]), (1, rows[1][1]), (7, rows[4][1]), (7, rows[6][1])])
+
+
+def test_rows_without_an_id_are_deduplicated_too(spark):
+    words = [f"w{k}" for k in range(50)]
+    near = lambda k: " ".join([*words[:-1], f"z{k}"])
+    lone = " ".join(f"l{k}" for k in range(40))
+    rows = [(None, near(0)), (None, near(1)), (4, near(2)), (None, lone), (None, lone), (None, lone + " end"), (None, None), (None, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(str, (tuple(r) for r in similar_components(docs).collect())))
+    assert got == sorted(map(str, [(None, 46, 4), (None, 46, 4), (4, 46, 4), (None, 36, None), (None, 36, None), (None, 37, None), (None, 0, None), (None, 0, None), (8, 0, 8)]))
+    kept = one_per_component(docs).collect()
+    assert sorted(str(r.doc_id) for r in kept) == sorted(["4", "None", "None", "None", "8"])
+    assert sum((r.text or "").startswith("l0 ") for r in kept) == 1
