@@ -208,11 +208,15 @@ def to_arrow(kind) -> pa.DataType:
 
 
 def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The documents that contain no item, with the columns they came with; rows with a null id stay.
+    """The documents that contain no item, with the columns they came with.
 
-    An action: the ids to drop are written first, so that the planner knows their real size. It broadcasts them only
-    below the session's threshold and joins by shuffles beyond it.
+    Whether a row goes is decided by its text alone, named by a hash, so rows without an id and rows that share one are
+    judged each on its own. An action: the hashes to drop are written first, so that the planner knows their real size. It
+    broadcasts them only below the session's threshold and joins by shuffles beyond it.
     """
-    name = options.get("doc_id", "doc_id")
-    leaked = write_through(contained_items(docs, items, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.join(leaked, docs[name] == F.col("__leaked"), "left_anti")
+    options.pop("doc_id", None)
+    text = options.pop("text", "text")
+    hashed = F.xxhash64(docs[text])
+    named = docs.select(hashed.alias("doc_id"), docs[text].alias("text"))
+    leaked = write_through(contained_items(named, items, **options).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
+    return docs.join(leaked, hashed == F.col("__leaked"), "left_anti")

@@ -119,7 +119,7 @@ def shingled(words: np.ndarray, bounds: np.ndarray, size: int = 5) -> tuple[np.n
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
     multipliers = mixed(np.arange(1, size + 1, dtype=np.uint64)) | np.uint64(1)
     total = np.zeros(n, dtype=np.uint64)
-    for k in range(size):
+    for k in range(min(size, n)):
         total[: n - k] += words[k:] * multipliers[k]
     within = np.arange(n) - np.repeat(bounds[:-1], counts)
     length = np.repeat(counts, counts)

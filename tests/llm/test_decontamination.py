@@ -80,3 +80,10 @@ def test_empty_tables(spark):
     assert contained_items(docs, items).collect() == []
     assert contained_items(docs.limit(0), docs.selectExpr("doc_id as item_id", "text")).collect() == []
     assert clean_documents(docs, items).count() == 1
+
+
+def test_leaked_rows_go_whatever_their_id(spark):
+    items = spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string")
+    leak = "x y one two three four five six seven z"
+    docs = spark.createDataFrame([(None, leak), (None, "clean"), (5, leak), (5, "clean too"), (6, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in clean_documents(docs, items).collect() if r.text) == [("5", "clean too"), ("None", "clean")]
