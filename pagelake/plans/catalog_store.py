@@ -1,4 +1,4 @@
-"""Queries over the keyed snapshot store: batches written, newer captures, look-ups, work lists and compaction."""
+"""Queries over stored pages: the keyed snapshot store (newer captures, look-ups, work lists, compaction) and packed archives."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pagelake.plans import corpora
 from pagelake.plans.registry import query
 from pagelake.session import shared_folder
+from pagelake.sources.archive import read_archive, write_archive
 from pagelake.sources.store import SnapshotStore
 
 _STORED = """
@@ -71,3 +72,26 @@ def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = store.pages().count()
     store.compact()
     return store.pages().select("request_key", F.md5("html").alias("html_md5"), F.lit(before).cast("long").alias("captures_before"))
+
+
+def _archive(spark: SparkSession, sf_dir: str) -> str:
+    path = shared_folder(spark, "archive")
+    write_archive(corpora.pages(spark, sf_dir).select(corpora.text("http://packed.example.com/", F.col("page_id")).alias("url"), "html"), path)
+    return path
+
+
+@query("archived_pages", "SELECT 'http://packed.example.com/' || page_id AS url, md5(html) AS html_md5 FROM pages")
+def archived_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, packed and read back by byte ranges."""
+    return read_archive(spark, _archive(spark, sf_dir)).select("url", F.md5("html").alias("html_md5"))
+
+
+@query(
+    "archived_titles",
+    """SELECT 'http://packed.example.com/' || page_id AS url, regexp_extract(html, '<title>(.*?)</title>', 1) AS title FROM pages
+    WHERE starts_with('http://packed.example.com/' || page_id, 'http://packed.example.com/1')""",
+)
+def archived_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range of URLs out of an archive; packs that cannot hold any are not opened."""
+    asked = read_archive(spark, _archive(spark, sf_dir)).where(F.col("url").startswith("http://packed.example.com/1"))
+    return asked.select("url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))

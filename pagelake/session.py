@@ -13,6 +13,8 @@ SESSION_DEFAULTS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Page archives choose what they read by filters on the URL.
+    "spark.sql.python.filterPushdown.enabled": "true",
     # A page can be large, so batches to Python are bounded by rows here and by bytes below.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
