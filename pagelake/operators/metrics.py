@@ -158,13 +158,18 @@ def timing_summary(runs: DataFrame, timings: str = "timings") -> DataFrame:
     )
 
 
-def macro_report(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
-    """One row: mean field precision, recall and F1, and page type accuracy; 0.0 if empty. One pass over the runs."""
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+def run_scores(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """Per run its counts tp, fp and fn over all fields, the rates they give, and ``hit``: 1.0 where the page type is right."""
     hit = F.coalesce((F.col("gold_page_type") == F.col("page_type")).cast("double"), F.lit(0.0))
     pairs = _judged_pairs(aligned.withColumn("hit", hit), keys, threshold, ["hit"])
     per_run = pairs.groupBy(*keys).agg(*[F.sum(f"o.{c}").alias(c) for c in ("tp", "fp", "fn")], F.max("hit").alias("hit"))
-    return _with_rates(per_run).agg(
+    return _with_rates(per_run)
+
+
+def macro_report(aligned: DataFrame, keys: list[str], threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """One row: mean field precision, recall and F1, and page type accuracy; 0.0 if empty. One pass over the runs."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
+    return run_scores(aligned, keys, threshold).agg(
         mean("precision").alias("field_precision"), mean("recall").alias("field_recall"), mean("f1").alias("field_f1"),
         mean("hit").alias("page_type_accuracy"),
     )

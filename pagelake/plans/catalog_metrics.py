@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.operators import metrics
+from pagelake.operators import metric_state, metrics
 from pagelake.operators.experiments import attach_replies, cases_by_model, run_cases
 from pagelake.operators.extract import CELL, cell
 from pagelake.plans import corpora
 from pagelake.plans.registry import query, sql_strip, sql_text
+from pagelake.session import shared_folder
 
 text = corpora.text
 
@@ -152,9 +153,7 @@ def macro_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select(*[F.round(c, 6).alias(c) for c in names])
 
 
-@query(
-    "report_rows",
-    f"""WITH {_GOLD}, m AS (SELECT round(avg(p), 6) AS field_precision, round(avg(r), 6) AS field_recall,
+_REPORT_SQL = f"""WITH {_GOLD}, m AS (SELECT round(avg(p), 6) AS field_precision, round(avg(r), 6) AS field_recall,
       round(avg(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END), 6) AS field_f1,
       round(avg(CASE WHEN n % 5 <> 0 AND n % 3 = 0 THEN 1.0 ELSE 0.0 END), 6)::DOUBLE AS page_type_accuracy FROM scores),
     s AS (SELECT n % 3 AS k, (n % 17)::DOUBLE AS v FROM d)
@@ -162,16 +161,44 @@ def macro_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'timing.stage' || k || '.mean', round(avg(v), 6) FROM s GROUP BY k
     UNION ALL SELECT 'timing.stage' || k || '.std', round(stddev_pop(v), 6) FROM s GROUP BY k
     UNION ALL SELECT 'timing.stage' || k || '.min', min(v) FROM s GROUP BY k
-    UNION ALL SELECT 'timing.stage' || k || '.max', max(v) FROM s GROUP BY k""",
-)
-def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    UNION ALL SELECT 'timing.stage' || k || '.max', max(v) FROM s GROUP BY k"""
+
+
+def _timed_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs next to their gold record, each with the seconds of one stage."""
     gold, runs = _gold_and_runs(spark, sf_dir)
     n = F.col("doc_id")
-    timed = runs.withColumn("timings", F.create_map(text("stage", n % 3), (n % 17).cast("double")))
-    rows = metrics.report_rows(metrics.align_with_gold(timed, gold), ["doc_id"])
+    return metrics.align_with_gold(runs.withColumn("timings", F.create_map(text("stage", n % 3), (n % 17).cast("double"))), gold)
+
+
+@query("report_rows", _REPORT_SQL)
+def whole_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = metrics.report_rows(_timed_runs(spark, sf_dir), ["doc_id"])
     return rows.withColumn("value", F.round("value", 6))
 
 
+@query("merged_report", _REPORT_SQL)
+def merged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same report from states of four batches of runs, one of them written twice."""
+    path, aligned = shared_folder(spark, "states"), _timed_runs(spark, sf_dir)
+    for batch in (0, 1, 2, 3, 1):
+        metric_state.store_batch(metric_state.run_observations(aligned.where(F.col("doc_id") % 4 == batch), ["doc_id"]), path, str(batch))
+    return metric_state.report_of(metric_state.stored_states(spark, path)).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "merged_timings",
+    """SELECT event_type AS metric, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, min(value) AS min, max(value) AS max
+    FROM events GROUP BY 1""",
+)
+def merged_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds per stage from a state for each user and stage, merged in seven parts, and these again."""
+    seen = corpora.table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), "value", "user_id")
+    by_user = metric_state.states_of(seen, ["user_id"]).withColumn("part", F.col("user_id") % 7).drop("user_id")
+    summary = metric_state.summary_of(metric_state.merged_states(metric_state.merged_states(by_user, ["part"])))
+    return summary.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
 _H1 = sql_text("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)")
 _RUNS = f"""
 r AS (SELECT page_id, m.model, page_id % 6 <> 0 AS ok, {_H1} AS h1, page_id % 4 = 0 AS expects, page_id % 3 = 0 AS right_title
