@@ -7,14 +7,17 @@ classifier trained on the result decides.
 * The votes of all documents are counted by pattern of votes. Votes have few patterns however many rows there are, so
   the counts fit the driver, where EM estimates how reliable each labeler is for each kind (Dawid-Skene with
   abstentions) and gives each vote pattern the probability that such a candidate is personal data.
-* A logistic span classifier is trained on those probabilities, from features that include but are not limited to the
+* A logistic span classifier is trained on those probabilities over a bounded sample of the spans themselves, shared out
+  over the vote patterns and weighted to stand for all, from features that include but are not limited to the
   votes, and decides on every candidate outside the base.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +31,17 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "address", "number", "account", "person")
 THRESHOLD = 0.5
 ROUNDS, EPOCHS, RATE = 60, 300, 0.1
+#: Spans that the classifier is fitted on, shared out over the vote patterns, 20 each at least.
+SAMPLE_SPANS = 20_000
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SPELLED = re.compile(r"[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*+ ?[\[(]? ?(?:at|AT) ?[\])]? ?[A-Za-z0-9-]+(?: ?[\[(]? ?(?:dot|DOT) ?[\])]? ?[A-Za-z0-9-]+)+")
+# Spelled-out addresses are found from their at-word, which stands between spaces or in brackets, as dots do.
+AT_WORD = re.compile(r"(?: [\[(]? ?|[\[(] ?)(?:at|AT)(?: ?[\])] ?| )")
+SPELLED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:(?: [\[(]? ?|[\[(] ?)(?:dot|DOT)(?: ?[\])] ?| )[A-Za-z0-9-]++)+")
 GROUPS = re.compile(r"(?<![\w.+-])\(?[0-9]{3}\)?[ .-][0-9]{3,4}(?:[ .-][0-9]{2,4})+(?![\w-])")
 IDENTITY = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
@@ -69,6 +76,21 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", at + 1)
 
 
+def spelled_addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses like ``ann at example dot org``: back from the at-word as far as a local part reaches, and on over the domain."""
+    last = 0
+    for word in AT_WORD.finditer(text):
+        if word.start() >= last and (domain := SPELLED_DOMAIN.match(text, word.end())):
+            start = word.start()
+            while start > last and text[start - 1] in LOCAL:
+                start -= 1
+            while start < word.start() and text[start] == ".":
+                start += 1
+            if start < word.start():
+                last = domain.end()
+                yield start, last
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(reversed(digits)):
@@ -107,9 +129,9 @@ def base_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 def more_candidates(text: str) -> Iterator[tuple[str, int, int]]:
     """Looser candidates outside the base, whose verdict is the method's."""
-    if ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text):  # as every match of SPELLED has
-        for m in SPELLED.finditer(text):
-            yield "address", *m.span()
+    if ("at" in text or "AT" in text) and ("dot" in text or "DOT" in text):  # as every spelled-out address has
+        for start, end in spelled_addresses(text):
+            yield "address", start, end
     for pattern in (GROUPS, IDENTITY):
         for m in pattern.finditer(text):
             yield "number", *m.span()
@@ -140,9 +162,11 @@ def votes_on(text: str, kind: str, start: int, end: int) -> tuple[list[int], lis
         gazetteer = 1 if any(w.lower() in GIVEN for w in words) else -1
     elif kind == "email":
         gazetteer = 1 if value.rsplit(".", 1)[-1].lower() in ("com", "org", "net", "de", "fr", "es", "edu", "uk") else -1
+    wordy = kind in ("address", "person", "email")
     votes = [
-        int(bool(strict)), checksum, gazetteer, 1 if near & CONTEXT else -1, 0 if near & AGAINST else -1,
-        int(len(set(digits)) > 2) if digits else -1, 0 if start and text[start - 1] not in " \n\t(<[:\"'" else -1,
+        # An address without brackets is no sign against it, and neither are digits in a wordy kind.
+        -1 if kind == "address" and not strict else int(bool(strict)), checksum, gazetteer, 1 if near & CONTEXT else -1, 0 if near & AGAINST else -1,
+        int(len(set(digits)) > 2) if digits and not wordy else -1, 0 if start and text[start - 1] not in " \n\t(<[:\"'" else -1,
     ]
     features = [
         1.0, min(end - start, 40) / 40, len(digits) / max(1, end - start), len("".join(words)) / max(1, end - start),
@@ -158,7 +182,12 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             found = []
             text = text or ""
-            for base, spans in ((True, base_spans(text)), (False, more_candidates(text))):
+            base_found = list(base_spans(text))
+            # Base spans by start, and how far those up to each reach: what overlaps one is no candidate of the method.
+            ordered = sorted((s, e) for _, s, e in base_found)
+            starts, reach = [s for s, _ in ordered], list(accumulate((e for _, e in ordered), max))
+            free = [c for c in more_candidates(text) if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
+            for base, spans in ((True, base_found), (False, free)):
                 for kind, start, end in spans:
                     votes, features = votes_on(text, kind, start, end)
                     found.append({"kind": KINDS.index(kind), "start": start, "end": end, "base": base, "votes": "".join("?01"[v + 1] for v in votes), "features": features})
@@ -214,51 +243,65 @@ def found_personal_data(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """doc_id and ``spans`` (kind, start, end, base, probability) of every row, by kind as listed, then start.
 
     Code points, end exclusive. A null text is an empty one. A span of the method never overlaps a base span, nor an
-    earlier one of its own kind. Repeated rows are repeated; other columns are not read. An action: the texts are
-    read once, candidates with their votes are written, and the rest works on those.
+    earlier one of its own kind; spans of one kind and start cannot tie. Repeated rows are repeated; an empty table gives
+    no rows; other columns are not read. Texts of any length are read whole, in time in proportion to it. An action: the
+    texts are read once, candidates with their votes are written, and the rest works on those.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"))
     id_type = source.schema[0].dataType.simpleString()
     span = "struct<kind:int,start:bigint,end:bigint,base:boolean,votes:string,features:array<double>>"
     found = write_through(source.mapInArrow(_candidates, f"doc_id {id_type}, found array<{span}>"), "candidates")
-    each = found.select(F.explode("found").alias("f")).select("f.*")
+    each = found.select(F.xxhash64("doc_id").alias("row"), F.explode("found").alias("f")).select("row", "f.*")
     # Vote patterns and kinds are few by construction (3 answers of 7 labelers, 8 kinds), whatever the number of rows.
-    grouped = each.groupBy("kind", "votes").agg(
-        F.count("*").alias("n"), *[F.avg(F.col("features")[k]).alias(f"f{k}") for k in range(len(FEATURES))],
-        *[F.stddev_pop(F.col("features")[k]).alias(f"s{k}") for k in range(len(FEATURES))],
-    ).collect()
+    grouped = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
     grouped.sort(key=lambda r: (r["kind"], r["votes"]))
     beliefs = estimate([(r["kind"], r["votes"], r["n"]) for r in grouped])
-    rows = []
+    shared = spark.sparkContext.broadcast(fit_span_classifier(_sampled_spans(each, grouped, beliefs)))
+    out = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("probability", pa.float64())])
+    schema = f"doc_id {id_type}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean,probability:double>>"
+    return found.mapInArrow(_decided(shared, threshold, out), schema)
+
+
+def _sampled_spans(each: DataFrame, grouped: list, beliefs: dict[tuple[int, str], float]) -> list[tuple[int, str, list[float], float, float]]:
+    """Spans to fit the classifier on: of every vote pattern so many at most, standing for all of its spans."""
+    if not grouped:
+        return []
+    most = max(20, SAMPLE_SPANS // len(grouped))
+    shares = each.sparkSession.createDataFrame([(r["kind"], r["votes"], min(1.0, most / r["n"])) for r in grouped], "kind int, votes string, share double")
+    chance = F.pmod(F.xxhash64("row", "start", "end"), F.lit(1_000_000)) / 1_000_000
+    picked = each.join(F.broadcast(shares), ["kind", "votes"]).where(chance < F.col("share")).select("kind", "votes", "features").collect()
+    # Copies of a document may be picked together, so the bound is kept here as well.
+    picked.sort(key=lambda r: (r["kind"], r["votes"], r["features"]))
+    by_pattern = {key: list(rows) for key, rows in groupby(picked, key=lambda r: (r["kind"], r["votes"]))}
+    out = []
     for r in grouped:
-        mean, spread = ([r[f"{p}{k}"] for k in range(len(FEATURES))] for p in "fs")
-        for sign in (-1, 0, 1):
-            rows.append((r["kind"], r["votes"], [m + sign * s for m, s in zip(mean, spread)], beliefs[r["kind"], r["votes"]], r["n"] / 3))
-    weights = fit_span_classifier(rows)
-
-    def probability(f):
-        score = sum((float(w) * f["features"][k] for k, w in enumerate(weights[: len(FEATURES)])), F.lit(0.0))
-        place = len(FEATURES)
-        for answer in "10":
-            for k in range(len(LABELERS)):
-                score += F.when(F.substring(f["votes"], k + 1, 1) == answer, float(weights[place + k])).otherwise(0.0)
-            place += len(LABELERS)
-        for k in range(len(KINDS)):
-            score += F.when(f["kind"] == k, float(weights[place + k])).otherwise(0.0)
-        return 1 / (1 + F.exp(-score))
-
-    scored = F.transform("found", lambda f: F.struct(
-        f["kind"].alias("number"), f["start"].alias("start"), f["end"].alias("end"), f["base"].alias("base"), probability(f).alias("probability"),
-    ))
-    free = lambda s, others: ~F.exists(F.filter(others, lambda o: o["base"]), lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"]))
-    earlier = lambda s, others: ~F.exists(
-        others, lambda o: ~o["base"] & (o["number"] == s["number"]) & (o["start"] < s["start"]) & (s["start"] < o["end"]) & (o["probability"] >= threshold),
-    )
-    chosen = found.select("doc_id", scored.alias("all")).select("doc_id", F.filter(
-        "all", lambda s: s["base"] | ((s["probability"] >= threshold) & free(s, F.col("all")) & earlier(s, F.col("all"))),
-    ).alias("kept"))
-    names = F.array(*map(F.lit, KINDS))
-    return chosen.select("doc_id", F.transform(F.array_sort(F.array_distinct("kept")), lambda s: F.struct(
-        names[s["number"]].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["base"].alias("base"), s["probability"].alias("probability"),
-    )).alias("spans"))
+        rows = by_pattern.get((r["kind"], r["votes"]), [])
+        some = rows[:: max(1, -(-len(rows) // most))]
+        out += [(r["kind"], r["votes"], list(row["features"]), beliefs[r["kind"], r["votes"]], r["n"] / len(some)) for row in some]
+    return out
+
+
+def _decided(shared, threshold: float, span: pa.DataType):
+    """Scores every candidate; of overlapping ones of a kind the first above the threshold stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, width = shared.value, len(FEATURES)
+        for batch in batches:
+            rows = []
+            for found in batch.column(1).to_pylist():
+                kept, ends = set(), [0] * len(KINDS)
+                if found:
+                    x = np.array([f["features"] for f in found]) @ weights[:width]
+                    votes = np.array([f["votes"].encode() for f in found]).view("S1").reshape(len(found), -1)
+                    x += (votes == b"1") @ weights[width : width + len(LABELERS)] + (votes == b"0") @ weights[width + len(LABELERS) : width + 2 * len(LABELERS)]
+                    x += weights[width + 2 * len(LABELERS) :][[f["kind"] for f in found]]
+                    probability = 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+                    for f, p in sorted(zip(found, probability.tolist()), key=lambda fp: (fp[0]["kind"], fp[0]["start"], fp[0]["end"])):
+                        if f["base"] or (p >= threshold and f["start"] >= ends[f["kind"]]):
+                            kept.add((f["kind"], f["start"], f["end"], f["base"], p))
+                            ends[f["kind"]] = max(ends[f["kind"]], f["end"])
+                rows.append([{"kind": KINDS[k], "start": s, "end": e, "base": b, "probability": p} for k, s, e, b, p in sorted(kept)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(span))], names=["doc_id", "spans"])
+
+    return run

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -30,9 +31,50 @@ def test_base_equals_the_patterns(alphabet):
 
 
 def test_long_runs_stay_linear():
-    for run in ("1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 100_000, "+1 " * 50_000, "- " * 100_000):
+    far = " at x dot y "
+    for run in (
+        "1" * 200_000, "1." * 100_000, "a" * 200_000 + "@", "@" * 100_000, "+1 " * 50_000, "- " * 100_000, "a" * 1_000_000 + far, far + "b" * 1_000_000, "a-" * 200_000 + far,
+        " at " * 100_000 + far, "x at y" * 50_000 + far, " dot " * 50_000 + far, "a.b at c dot d " * 20_000, "[at]" * 100_000 + far, "." * 200_000 + far, "a at " + "c dot " * 50_000,
+    ):
+        start = time.perf_counter()
         list(base_spans(run))
         list(more_candidates(run))
+        assert time.perf_counter() - start < 4, run[:20]
+
+
+def test_a_row_of_many_spans(spark):
+    numbers = " ".join(f"call ({200 + k % 700}) 555-{k % 10_000:04d} now," for k in range(50_000)) + " 10.0.0.1" * 50_000
+    docs = spark.createDataFrame([(1, numbers), (2, "phone (724) 555-7058")], "doc_id long, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r.spans for r in found_personal_data(docs).collect()}
+    assert time.perf_counter() - start < 60
+    assert sum(s.base for s in got[1]) == 50_000 and sum(s.kind == "number" for s in got[1]) in (0, 50_000)
+
+
+def test_seeded_findings(spark):
+    """Recall and precision of the method's own spans where true ones and look-alikes are known."""
+    rng = random.Random(7)
+    names = ["Maria Lopez", "James Brown", "Anna Weber", "Pierre Martin", "Juan Garcia"]
+
+    def iban():
+        body = "".join(rng.choice("0123456789") for _ in range(18))
+        check = 98 - int(body + "131400") % 97
+        return f"DE{check:02d}{body}"
+
+    true = [
+        lambda: f"call ({rng.randrange(200, 990)}) 555-{rng.randrange(1000, 9999)} please", lambda: f"customer ssn {rng.randrange(100, 999)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: f"account {iban()} there", lambda: f"contact Dr {rng.choice(names)} today", lambda: f"mail maria{rng.randrange(99)} at example dot com soon",
+    ]
+    false = [
+        lambda: f"version {rng.randrange(100, 999)}.{rng.randrange(100, 999)}.{rng.randrange(10, 99)} was", lambda: f"see page {rng.randrange(100, 999)}-{rng.randrange(100, 999)}-{rng.randrange(10, 99)} of",
+        lambda: f"isbn {rng.randrange(100, 999)}-{rng.randrange(1000, 9999)}-{rng.randrange(1000, 9999)} in", lambda: f"section AB{rng.randrange(10, 99)} {rng.randrange(1000, 9999)} {rng.randrange(1000, 9999)} was",
+    ]
+    rows = [(k, f"Some words before, {(true[k % 5] if k % 2 else false[k % 4])()} and more words after it.") for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s for s in r.spans if not s.base] for r in found_personal_data(docs).collect()}
+    recall = [sum(bool(got[k]) for k in range(1, 1500, 2) if k % 5 == kind) / sum(1 for k in range(1, 1500, 2) if k % 5 == kind) for kind in range(5)]
+    wrong = sum(bool(got[k]) for k in range(0, 1500, 2)) / 750
+    assert min(recall) >= 0.9 and wrong <= 0.1, (recall, wrong)
 
 
 def test_reliable_labelers_win():
