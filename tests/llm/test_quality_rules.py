@@ -5,7 +5,9 @@ import random
 import re
 from collections import Counter
 
-from pagelake.llm.quality_rules import GRID, binomial_below, certified_cutoffs, judged, measured
+import numpy as np
+
+from pagelake.llm.quality_rules import GRID, binomial_below, certified, certified_setting, judged, measured, path_of, rejecting, upper_bound
 
 
 def brute(text):
@@ -38,14 +40,88 @@ def test_exact_binomial():
     assert binomial_below(10**6, 10**9, 0.002) < 1e-12
 
 
-def test_cutoffs_stop_at_the_first_that_is_not_certified():
-    rule = "symbols_per_word"
-    none = {r: [0] * len(c) for r, c in GRID.items()}
-    clean = certified_cutoffs({0: (5000, none)})
-    assert clean[0, rule] == GRID[rule][-1]
-    assert certified_cutoffs({0: (100, none)}) == {}
-    some = {**none, rule: [0, 0, 900, 0, 0, 0, 0, 0, 0, 0]}
-    assert certified_cutoffs({0: (5000, some)})[0, rule] == GRID[rule][1]
+def no_path():
+    return list(path_of(np.zeros((0, len(GRID)), int), np.zeros(0, int), np.zeros(0, int)))
+
+
+def test_bounds_are_exact():
+    for k, n, level in ((0, 240, 0.0125), (3, 500, 0.05), (40, 3000, 0.01)):
+        bound = upper_bound(k, n, level)
+        assert abs(sum(math.comb(n, i) * bound**i * (1 - bound) ** (n - i) for i in range(k + 1)) - level) < 1e-9
+    assert upper_bound(5, 5, 0.05) == 1.0
+
+
+def test_settings_stop_at_the_first_that_is_not_certified():
+    sizes = [len(c) for c in GRID.values()]
+    none = (0,) * len(GRID)
+    # Nothing exceeds any cutoff: all rules go to their strictest.
+    setting, bound = certified([(0, none, 60, 0, 240)])[0]
+    assert setting.tolist() == sizes and bound < 0.02
+    assert certified([(0, none, 60, 0, 200)])[0][0].tolist() == [0] * len(GRID)
+    # Half of the good documents exceed the first rule's 4 strictest cutoffs: it stays above those, the others are free.
+    some = (4, 0, 0, 0, 0)
+    setting, bound = certified([(0, none, 300, 50, 1200), (0, some, 300, 50, 1200)])[0]
+    assert setting.tolist() == [sizes[0] - 4, *sizes[1:]] and bound < 0.02
+
+
+def test_the_path_prefers_what_costs_nothing_and_takes_bad_documents():
+    levels = np.array([(0, 0, 0, 0, 0), (10, 0, 0, 0, 0), (0, 0, 9, 0, 0)])
+    path = path_of(levels, np.array([100, 0, 5]), np.array([5, 50, 0]))
+    assert path[0].tolist() == [1, 0, 0, 0, 0] and len(path) == sum(map(len, GRID.values())) == len(no_path())
+    assert all((b - a).sum() == 1 and (b >= a).all() for a, b in zip(path, path[1:]))
+    assert [p[2] for p in path].index(1) == len(path) - len(GRID["dup_line_share"])
+
+
+def test_the_guarantee_holds_over_many_holdouts():
+    """No more than ``error`` of 1,000 drawn holdouts lead to a setting that truly rejects more than ``risk``."""
+    rng = np.random.default_rng(2)
+    sizes = np.array([len(c) for c in GRID.values()])
+    # Vectors of levels of good documents: each rule has a thin tail over its cutoffs.
+    vectors = np.unique(np.minimum(rng.geometric(0.35, (4000, len(GRID))) - 1, sizes) * (rng.random((4000, len(GRID))) < 0.02), axis=0)
+    chance = rng.dirichlet(np.where((vectors == 0).all(1), 400.0, 0.4))
+    bad = rng.integers(0, 9, len(vectors))
+    broken = certified_some = 0
+    for _ in range(1000):
+        n = int(rng.choice([150, 400, 1500, 6000]))
+        path, tested = rng.multinomial(n // 5, chance), rng.multinomial(n - n // 5, chance)
+        setting, bound = certified_setting(path_of(vectors, path, bad), vectors, tested, 0.02, 0.05)
+        truth = chance[rejecting(vectors, setting)].sum()
+        broken += truth > 0.02
+        certified_some += bound is not None
+    assert broken <= 65 and certified_some > 500, (broken, certified_some)
+
+
+def test_kept_recomputed_plainly(spark):
+    """Every row's verdict from the counts and a plain run over the same settings, on a table whose strata have a few hundred labels."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    rows = judged(docs, labels).collect()
+    quality = {}
+    for r in labels.collect():
+        quality.setdefault(r.doc_id, set()).add(r.quality)
+    hashed = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(doc_id, 31), 5) as h").collect()}
+
+    def values(r):
+        words = max(1, r.n_words)
+        return r.n_symbols / words, r.n_marks / words, r.n_dup_lines / max(1, r.n_lines), r.n_repeat_words / words, r.word_chars / words
+
+    counts = {}
+    for r in rows:
+        label = quality.get(r.doc_id)
+        if not r.base_failed and label in ({0}, {1}):
+            levels = tuple(sum(v > c for c in cutoffs) for v, cutoffs in zip(values(r), GRID.values()))
+            own = counts.setdefault((r.band, levels), [0, 0, 0])
+            own[1 if label == {0} else 0 if hashed[r.doc_id] == 0 else 2] += 1
+    settings = certified([(band, levels, *n) for (band, levels), n in sorted(counts.items())])
+    for r in rows:
+        setting, bound = settings.get(r.band, (np.zeros(len(GRID), int), None))
+        hit = [rule for (rule, cutoffs), v, steps in zip(GRID.items(), values(r), setting.tolist()) if steps and v > cutoffs[steps - 1]]
+        assert (r.kept, r.rejected_by, r.bound) == (not r.base_failed and not hit, hit, bound)
+    for band in {r.band for r in rows}:
+        good = sum(n[0] + n[2] for (b, _), n in counts.items() if b == band)
+        assert good < 300 or settings[band][1] is not None, (band, good)
+    rejected = [r for r in rows if r.rejected_by and not r.base_failed]
+    assert len({r.band for r in rejected}) >= 2
 
 
 def test_good_documents_are_kept(spark):
