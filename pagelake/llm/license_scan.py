@@ -5,16 +5,19 @@ words and a place is a word number. A rule runs only where its keyword stands am
 runs where a cheap test of the raw text shows that no expression can match; that test is made from the expressions. A detection inside another detection of
 the same or a higher priority is suppressed: "apache license" inside "licensed under the apache license version 2 0".
 
-Everything is expressions over one row; nothing is shuffled, and a row's detections stay in the row.
+Finding is expressions over one row, in which every word carries its number. Only detections of rows that have several are
+shuffled: running maxima in a window over a row's detections say which others hold each of them.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagelake.session import write_through
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything in ASCII but letters and digits parts words, in any case.
 PARTING = "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
@@ -66,20 +69,79 @@ NOTICES: tuple[tuple[str, str, str, int], ...] = (
     ("domaine", "domaine public", "public-domain", 1), ("dominio", "dominio p[úu]blico", "public-domain", 1),
     ("proprietary", "proprietary and confidential", "proprietary", 2), ("free", "free for (?:non ?commercial|personal) use", "non-commercial", 1),
 )
+# Sentences that only the text of a license has, with keyword and label.
+SENTENCES: tuple[tuple[str, str, str], ...] = (
+    ("sublicense", "to use copy modify merge publish distribute sublicense and or sell copies", "mit"),
+    ("substantial", "shall be included in all copies or substantial portions of the software", "mit"),
+    ("noninfringement", "merchantability fitness for a particular purpose and noninfringement", "mit"),
+    ("hereby", "permission is hereby granted without written agreement and without license or royalty fees", "mit"),
+    ("retain", "redistributions of source code must retain the above copyright notice this list of conditions", "bsd"),
+    ("redistributions", "redistributions in binary form must reproduce the above copyright notice", "bsd"),
+    ("endorse", "may be used to endorse or promote products derived from this software", "bsd"),
+    ("advertising", "all advertising materials mentioning features or use of this software must display", "bsd"),
+    ("contributors", "provided by the copyright holders and contributors as is", "bsd"),
+    ("regents", "the regents of the university of california", "bsd"),
+    ("isc", "the software is provided as is and isc disclaims all warranties", "isc"),
+    ("disclaims", "the author disclaims all warranties with regard to this software", "isc"),
+    ("apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org", "apache"),
+    ("contributor", "each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable", "apache"),
+    ("notices", "derivative works a copy of this license and you must cause any modified files to carry prominent notices", "apache"),
+    ("gnu", "this program is free software you can redistribute it and or modify it under the terms of the gnu", "gpl"),
+    ("gnu", "you should have received a copy of the gnu (?:lesser |affero |library )?general public license along with", "gpl"),
+    ("redistribute", "this library is free software you can redistribute it and or modify it", "lgpl"),
+    ("freedom", "intended to guarantee your freedom to share and change", "gpl"),
+    ("copyleft", "is a free copyleft license for software and other kinds of works", "gpl"),
+    ("network", "interacting with it remotely through a computer network", "agpl"),
+    ("invariant", "with no invariant sections no front cover texts and no back cover texts", "gfdl"),
+    ("mozilla", "this source code form is subject to the terms of the mozilla public license", "mpl"),
+    ("mpl", "if a copy of the mpl was not distributed with this file", "mpl"),
+    ("eclipse", "the accompanying materials are made available under the terms of the eclipse public license", "epl"),
+    ("recipient", "any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement", "epl"),
+    ("organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "bsl"),
+    ("misrepresented", "the origin of this software must not be misrepresented", "zlib"),
+    ("altered", "altered source versions must be plainly marked as such", "zlib"),
+    ("unencumbered", "this is free and unencumbered software released into the public domain", "unlicense"),
+    ("fuck", "do what the fuck you want to public license", "wtfpl"),
+    ("beer", "you can buy me a beer in return", "beerware"),
+    ("package", "the intent of this document is to state the conditions under which a package may be copied", "artistic"),
+    ("reserved", "font software with reserved font name", "ofl"),
+    ("font", "the font software may be sold as part of a larger software package", "ofl"),
+    ("illinois", "university of illinois nor the names of its contributors may be used to endorse", "ncsa"),
+    ("redistribute", "you are free to share copy and redistribute the material in any medium or format", "cc"),
+    ("contributions", "you must distribute your contributions under the same license as the original", "cc-by-sa"),
+    ("commercial", "you may not use the material for commercial purposes", "cc-by-nc"),
+    ("modified", "you may not distribute the modified material", "cc-by-nd"),
+    ("affirmer", "the affirmer hereby overtly fully permanently irrevocably and unconditionally waives", "cc0"),
+    ("waived", "has waived all copyright and related or neighboring rights", "cc0"),
+    ("licensor", "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use", "busl"),
+    ("hosted", "you may not provide the software to third parties as a hosted or managed service", "elastic"),
+    ("service", "making the functionality of the program or modified version available to third parties as a service", "sspl"),
+    ("psf", "psf hereby grants licensee a nonexclusive royalty free world wide license", "python"),
+    ("openssl", "this product includes software developed by the openssl project", "openssl"),
+    ("accompanied", "redistributions in any form must be accompanied by information on how to obtain complete source code", "sleepycat"),
+    ("database", "you are free to share create and adapt this database", "odbl"),
+    ("modification", "permission to copy modify and distribute this work with or without modification for any purpose and without fee", "w3c"),
+)
 CONFIDENCE = {1: 0.5, 2: 0.8, 3: 0.9, 4: 1.0}
 TOP = max(CONFIDENCE)
 #: Pieces of up to so many letters, where there are no longer ones, count for the gate only at the end of a word.
 SHORT = 3
+#: Between a word and its number; no word has it.
+TAG = "\x01"
 
 
 def rules() -> list[tuple[str, str, str, int, bool]]:
-    """(keyword, expression, label, priority, whether its one group joins the label), highest priority first."""
+    """(keyword, expression, label, priority, whether its one group joins the label), highest priority first, then as listed.
+
+    The order of the rules is theirs in this list: of detections of one place and priority the earlier rule's stays.
+    """
     named = [
         (keyword, shape.format(name=f"(?:{name})"), label, priority, versioned)
         for priority, shape, versioned in SHAPES for keyword, name, label in NAMES
     ]
     own = [(keyword, expression, label, priority, re.compile(expression).groups == 1) for keyword, expression, label, priority in NOTICES]
-    return sorted(own + named, key=lambda r: -r[3])
+    whole = [(keyword, expression, label, 3, False) for keyword, expression, label in SENTENCES]
+    return sorted(own + whole + named, key=lambda r: -r[3])
 
 
 def sure_pieces(expression: str) -> frozenset[str]:
@@ -102,7 +164,7 @@ def gate_clauses() -> list[frozenset[str]]:
 
     Taken from the expressions of names, notices and phrases; a shape only puts words around a name.
     """
-    expressions = [name for _, name, _ in NAMES] + [expression for _, expression, _, _ in NOTICES] + list(PHRASES)
+    expressions = [name for _, name, _ in NAMES] + [expression for _, expression, *_ in (*NOTICES, *SENTENCES)] + list(PHRASES)
     found = set()
     for expression in expressions:
         pieces = sure_pieces(expression)
@@ -133,71 +195,72 @@ def has_word(word: str) -> str:
     return f"(?<= ){word}(?= )"
 
 
-def places(norm: Column, expression: Column) -> Column:
-    """(start, end) in words of every match of an expression over the spaced words ``norm``."""
-    found = F.regexp_extract_all(norm, expression, F.lit(0))
-    between = F.split(norm, expression)
-    words = lambda text: F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, match: F.struct(words(gap).alias("gap"), words(match).alias("inner"), match.alias("match")))
-    return F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["gap"] + s["inner"]).alias("at"),
-            F.concat(acc["out"], F.array(F.struct((acc["at"] + s["gap"] - 1).alias("start"), (acc["at"] + s["gap"] + s["inner"]).alias("end"), s["match"].alias("match")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
+def tagged(expression: str) -> str:
+    """The expression over words that stand behind their number; a match begins with the number of its first word."""
+    inner = re.sub(r" (\??)", lambda space: f"(?: [0-9]+{TAG})?" if space[1] else f" [0-9]+{TAG}", expression)
+    return f"(?<= )[0-9]+{TAG}{inner}(?= )"
+
+
+def places(numbered: Column, expression: Column) -> Column:
+    """(start, end, match) of every match of a tagged expression over numbered words, in order.
+
+    A match tells its place itself, so nothing is summed up along the text and time stays in proportion to it.
+    """
+    at = lambda m: F.substring_index(m, TAG, 1).cast("int")
+    return F.transform(F.regexp_extract_all(numbered, expression, F.lit(0)), lambda m: F.struct(
+        at(m).alias("start"), (at(m) + F.length(m) - F.length(F.replace(m, F.lit(TAG), F.lit("")))).alias("end"), F.regexp_replace(m, f"[0-9]+{TAG}", "").alias("match"),
+    ))
 
 
 def scanned(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_words, ``base`` (start and label of every phrase place), ``detections`` (start, end, priority,
     label; in order) that were not suppressed.
 
-    Every whole text is scanned; a null text is empty. Repeated rows are repeated; other columns are not read.
+    Every whole text is scanned, in time in proportion to it; a null text is empty. Of detections of one place and priority
+    the earlier rule's stays. An action: what is found is written once. Repeated rows are repeated; an empty table gives no rows; other columns are not read.
     """
     body = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("body"))
     lowered = body.withColumn("lowered", F.lower("body"))
     counted = lowered.select("doc_id", "body", F.size(F.filter(F.split("body", PARTING), lambda w: w != "")).cast("long").alias("n_words"), may_hold(F.col("lowered")).alias("gate"))
-    spaced = F.concat(F.lit(" "), F.array_join(F.filter(F.split(F.translate("body", UPPER, LOWER), PARTING), lambda w: w != ""), " "), F.lit(" "))
-    norms = counted.select("doc_id", "n_words", F.when(F.col("gate"), spaced).alias("norm"))
-    listed = rules()
+    words = F.filter(F.split(F.translate("body", UPPER, LOWER), PARTING), lambda w: w != "")
+    passed = counted.select("doc_id", "n_words", F.when(F.col("gate"), words).alias("words"))
+    spaced = F.concat(F.lit(" "), F.array_join(F.transform("words", lambda w, i: F.concat(i.cast("string"), F.lit(TAG), w)), " "), F.lit(" "))
+    norms = passed.select("doc_id", "n_words", spaced.alias("norm"))
     known = F.array(*[
-        F.struct(F.lit(keyword).alias("keyword"), F.lit(has_word(expression)).alias("expression"), F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(grouped).alias("grouped"))
-        for keyword, expression, label, priority, grouped in listed
+        F.struct(
+            F.lit(n).alias("number"), F.lit(keyword).alias("keyword"), F.lit(tagged(expression)).alias("tagged"), F.lit(has_word(expression)).alias("expression"),
+            F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(grouped).alias("grouped"),
+        ) for n, (keyword, expression, label, priority, grouped) in enumerate(rules())
     ])
-    active = norms.select("doc_id", "n_words", "norm", F.when(F.col("norm").isNotNull(), F.filter(known, lambda r: F.contains(F.col("norm"), F.concat(F.lit(" "), r["keyword"], F.lit(" "))))).alias("rules"))
-    phrases = F.array(*[F.struct(F.lit(has_word(p)).alias("expression"), F.lit(label).alias("label")) for p, label in PHRASES.items()])
+    active = norms.select("doc_id", "n_words", "norm", F.when(F.col("norm").isNotNull(), F.filter(known, lambda r: F.contains(F.col("norm"), F.concat(F.lit(TAG), r["keyword"], F.lit(" "))))).alias("rules"))
+    phrases = F.array(*[F.struct(F.lit(tagged(p)).alias("tagged"), F.lit(label).alias("label")) for p, label in PHRASES.items()])
     label = lambda r, p: F.when(
         r["grouped"], F.concat_ws("-", r["label"], F.nullif(F.replace(F.call_function("regexp_extract", F.concat(F.lit(" "), p["match"], F.lit(" ")), r["expression"], F.lit(1)), F.lit(" "), F.lit("-")), F.lit(""))),
     ).otherwise(r["label"])
     found = active.select(
-        "doc_id", "n_words",
+        "doc_id", "n_words", F.monotonically_increasing_id().alias("row"),
         F.when(F.col("norm").isNotNull(), F.flatten(F.transform(phrases, lambda r: F.transform(
-            places(F.col("norm"), r["expression"]), lambda p: F.struct(p["start"].alias("start"), r["label"].alias("label")),
+            places(F.col("norm"), r["tagged"]), lambda p: F.struct(p["start"].alias("start"), r["label"].alias("label")),
         )))).alias("base"),
-        F.when(F.size("rules") > 0, F.array_sort(F.flatten(F.transform("rules", lambda r: F.transform(places(F.col("norm"), r["expression"]), lambda p: F.struct(
-            p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), label(r, p).alias("label"),
-        )))))).alias("all"),
+        F.when(F.size("rules") > 0, F.flatten(F.transform("rules", lambda r: F.transform(places(F.col("norm"), r["tagged"]), lambda p: F.struct(
+            p["start"].alias("start"), (-p["end"]).alias("minus_end"), (-r["priority"]).alias("minus_priority"), r["number"].alias("number"), label(r, p).alias("label"),
+        ))))).alias("all"),
     )
-    # By start, longer first, higher priority first: what holds a detection stands before it. One pass keeps, for each
-    # priority, how far detections of that priority or a higher one reach.
-    reach = [f"reach{p}" for p in range(1, TOP + 1)]
-    kind = "array<struct<start:int,end:int,priority:int,label:string>>"
-
-    def step(acc, d):
-        end, priority = -d["minus_end"], -d["minus_priority"]
-        own = F.lit(-1)
-        for p in range(1, TOP + 1):
-            own = F.when(priority == p, acc[f"reach{p}"]).otherwise(own)
-        kept = F.array(F.struct(d["start"].alias("start"), end.alias("end"), priority.alias("priority"), d["label"].alias("label")))
-        return F.struct(
-            *[F.when(priority >= p, F.greatest(acc[f"reach{p}"], end)).otherwise(acc[f"reach{p}"]).alias(f"reach{p}") for p in range(1, TOP + 1)],
-            F.when(end <= own, acc["out"]).otherwise(F.concat(acc["out"], kept)).alias("out"),
-        )
-
-    kept = F.aggregate("all", F.struct(*[F.lit(-1).alias(r) for r in reach], F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-    return found.select(
+    # Written once with a number for each row, as rows with several detections meet themselves again below.
+    found = write_through(found, "found")
+    # By start, longer first, higher priority first, earlier rule first: what holds a detection stands before it. It is
+    # suppressed if those before it, of its priority or a higher one, reach its end.
+    order = ["start", "minus_end", "minus_priority", "number", "label"]
+    each = found.where(F.size("all") > 1).select("row", F.explode("all").alias("d")).select("row", "d.*")
+    before = Window.partitionBy("row").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.lit(None).cast("int")
+    for p in range(1, TOP + 1):
+        reach = F.when(F.col("minus_priority") == -p, F.max(F.when(F.col("minus_priority") <= -p, -F.col("minus_end"))).over(before)).otherwise(reach)
+    kept = each.withColumn("reach", reach).where("reach is null or reach < -minus_end").groupBy("row").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("kept"))
+    shown = F.transform(F.coalesce("kept", F.when(F.size("all") == 1, F.col("all"))), lambda d: F.struct(
+        d["start"].alias("start"), (-d["minus_end"]).alias("end"), (-d["minus_priority"]).alias("priority"), d["label"].alias("label"),
+    ))
+    return found.join(kept, "row", "left").select(
         "doc_id", "n_words", F.coalesce("base", F.array().cast("array<struct<start:int,label:string>>")).alias("base"),
-        F.coalesce(kept, F.array().cast(kind)).alias("detections"),
+        F.coalesce(shown, F.array().cast("array<struct<start:int,end:int,priority:int,label:string>>")).alias("detections"),
     )
