@@ -1,11 +1,11 @@
-"""Queries that write files and read them back: case, gold and run files, published records and run documents."""
+"""Queries that write files and read them back: case, gold and run files, published records, run documents and replies."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.operators import metrics
+from pagelake.operators import metrics, prompt_store
 from pagelake.operators.extract import extract_fields
 from pagelake.operators.publish import publish_csv, publish_json, publish_run_document, publish_text, published
 from pagelake.plans import corpora
@@ -113,3 +113,37 @@ def published_run_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = spark.read.schema("doc_id long, strategy_field_hit_rate double").json(f"{path}/runs")
     whole = summary.select("total_runs", F.round("strategy_field_hit_rate", 6).alias("mean_hit_rate")).first()
     return read.select("doc_id", F.round("strategy_field_hit_rate", 6).alias("hit_rate"), F.lit(whole.total_runs).alias("total_runs"), F.lit(whole.mean_hit_rate).alias("mean_hit_rate"))
+
+
+_PROMPTS = """prompts AS (SELECT doc_id, 'Kind of ' || source || ' in ' || lang || ' of ' || (length(text) // 500) AS content FROM documents),
+keyed AS (SELECT *, sha256('9' || chr(10) || 'page_type' || chr(10) || content) AS prompt_key FROM prompts)"""
+
+
+def _prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts that many documents share, as their text depends on source, language and size alone."""
+    content = corpora.text("Kind of ", F.col("source"), " in ", F.col("lang"), " of ", F.expr("length(text) div 500"))
+    return corpora.table(spark, sf_dir, "documents").select("doc_id", F.lit("page_type").alias("prompt_kind"), content.alias("content"))
+
+
+@query("prompt_worklist", f"WITH {_PROMPTS} SELECT DISTINCT prompt_key, content, 1 AS attempt FROM keyed WHERE content NOT LIKE '% in en %'")
+def prompt_worklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct prompts without a stored reply, after a batch for one language was stored twice."""
+    path, prompts = shared_folder(spark, "replies"), _prompts(spark, sf_dir)
+    work = prompt_store.to_ask(prompts, prompt_store.stored_replies(spark, path)).where(F.col("content").contains(" in en "))
+    for _ in range(2):
+        prompt_store.store_replies(work.withColumn("content", F.concat(F.lit("reply: "), "content")), path, "en")
+    return prompt_store.to_ask(prompts, prompt_store.stored_replies(spark, path)).select("prompt_key", "content", "attempt")
+
+
+@query(
+    "prompt_answers",
+    f"""WITH {_PROMPTS}
+    SELECT doc_id, prompt_key, CASE WHEN ascii(prompt_key) % 2 = 0 THEN 'reply: ' || content END AS reply FROM keyed""",
+)
+def prompt_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the reply to its prompt, which was asked once for all that share it."""
+    path, prompts = shared_folder(spark, "replies"), _prompts(spark, sf_dir)
+    work = prompt_store.to_ask(prompts, prompt_store.stored_replies(spark, path))
+    said = F.when(F.ascii("prompt_key") % 2 == 0, F.concat(F.lit("reply: "), "content")).otherwise(" ")
+    prompt_store.store_replies(work.withColumn("content", said), path, "all")
+    return prompt_store.answered(prompts, prompt_store.stored_replies(spark, path)).select("doc_id", "prompt_key", "reply")
