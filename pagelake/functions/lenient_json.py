@@ -95,15 +95,14 @@ def string_list(value: Column) -> Column:
     return F.coalesce(F.filter(texts, lambda t: t != ""), F.array().cast("array<string>"))
 
 
-def _object_text(payload: Column, key: str) -> Column:
-    """JSON text of an object member, with its keys in written order."""
-    return F.when(kind_of(member(payload, key)) == "object", F.get_json_object(payload.text, f"$.{key}"))
+def _member_map(payload: Column, key: str) -> Column:
+    """An object member as map<string,string> with its keys in written order; NULL for anything else. One parse reads it alone."""
+    return F.from_json(payload.text, f"struct<`{key}`:map<string,string>>")[key]
 
 
 def string_map(payload: Column, key: str) -> Column:
     """Member object as map<string,string>: scalars trimmed, nested values as JSON, nulls dropped."""
-    entries = F.from_json(_object_text(payload, key), "map<string,string>")
-    kept = F.map_filter(entries, lambda _, v: v.isNotNull())
+    kept = F.map_filter(_member_map(payload, key), lambda _, v: v.isNotNull())
     trimmed = F.transform_values(kept, lambda _, v: strip(v))
     return F.coalesce(trimmed, F.create_map().cast("map<string,string>"))
 
@@ -129,7 +128,7 @@ def _whole_number(value: Column) -> Column:
 
 def int_map(payload: Column, key: str) -> Column:
     """Member object as map<string,int>; unreadable and negative values dropped."""
-    order = F.map_keys(F.from_json(_object_text(payload, key), "map<string,string>"))
+    order = F.map_keys(_member_map(payload, key))
 
     def entries(values: Column) -> Column:
         read = F.transform(order, lambda k: F.struct(k.alias("key"), _whole_number(F.try_element_at(values, k)).alias("value")))
