@@ -1,4 +1,5 @@
-"""Queries over stored pages: the keyed snapshot store (newer captures, look-ups, work lists, compaction) and packed archives."""
+"""Queries over stored pages: the keyed snapshot store (newer captures, look-ups, work lists, compaction), packed archives,
+and the choice of snapshots on a stream."""
 
 from __future__ import annotations
 
@@ -6,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelake.plans import corpora
-from pagelake.plans.registry import query
+from pagelake.plans import catalog_pages  # noqa: F401  (registers the batch choice, whose SQL serves the stream as well)
+from pagelake.plans.registry import ORACLES, query
 from pagelake.session import shared_folder
 from pagelake.sources.archive import read_archive, write_archive
 from pagelake.sources.store import SnapshotStore
+from pagelake.streaming.captures import choose_on_stream, settled
 
 _STORED = """
 captures AS (
@@ -95,3 +98,22 @@ def archived_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range of URLs out of an archive; packs that cannot hold any are not opened."""
     asked = read_archive(spark, _archive(spark, sf_dir)).where(F.col("url").startswith("http://packed.example.com/1"))
     return asked.select("url", F.regexp_extract("html", "<title>(.*?)</title>", 1).alias("title"))
+
+
+@query("streamed_choice", ORACLES["snapshot_choice"])
+def streamed_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The choice of snapshots from captures that arrive in three batches, the best ones not last."""
+    folder, captures = shared_folder(spark, "stream"), corpora.captures(spark, sf_dir)
+    out, provider = f"{folder}/out", "spark.sql.streaming.stateStore.providerClass"
+    for part in (1, 2, 0):
+        captures.where(F.col("capture_id") % 3 == part).write.parquet(f"{folder}/in/{part}")
+    stream = spark.readStream.schema(captures.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 8).parquet(f"{folder}/in")
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        writer = choose_on_stream(stream).writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+        writer.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    chosen = settled(spark.read.parquet(out))
+    return chosen.select("requested_url", "final_url", "renderer", "degraded", F.md5("html").alias("html_md5"))
