@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,17 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
-    return f"{base.rstrip('/')}/pagelake-{name}-{uuid.uuid4().hex}"
+    return f"{qualified(spark, base).rstrip('/')}/pagelake-{name}-{uuid.uuid4().hex}"
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as Hadoop resolves it: without one, other readers would look on the machine they run on."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    whole = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(target).toString()
+    return re.sub(r"^file:/(?!/)", "file:///", whole)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
