@@ -16,6 +16,7 @@ tail, then only the frames that hold them.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -47,13 +48,34 @@ TEXT_CHARS = 1 << 19
 PRE_TOKENS = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t-\r \x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
 WORDS = re.compile("[a-zªµºß-öø-ÿ]+")
+# The configuration that the pre-tokens above are made for. Files that differ in any of it are encoded whole.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def by_pre_tokens(tokenizer_file: str) -> bool:
+    """Whether the file's tokenizer splits texts as ``PRE_TOKENS`` does, gives each piece ids of its own, and finds added tokens by ``<|``."""
+    with open(tokenizer_file, encoding="utf-8") as source:
+        config = json.load(source)
+    return (
+        config.get("normalizer") == NORMALIZER and config.get("pre_tokenizer") == PRE_TOKENIZER and not config.get("truncation") and not config.get("padding")
+        and all(config["model"].get(key) == value for key, value in MODEL.items()) and all(t["content"].startswith("<|") for t in config.get("added_tokens") or [])
+    )
 
 
 class WordMemo:
     """Ids of whole texts, by way of the ids of their pre-tokens, which do not depend on each other.
 
     Words are learned by the same BPE model without the normalizer, many in one call; pieces that hold rarer
-    characters go through the whole tokenizer. Known pieces are kept up to a bound, then learned afresh.
+    characters go through the whole tokenizer. Known pieces are kept up to a bound, then learned afresh. Tokenizers of another
+    configuration than the pre-tokens are made for encode every text whole.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -62,6 +84,7 @@ class WordMemo:
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
         from tokenizers.pre_tokenizers import Sequence as Steps
 
+        self.by_pieces = by_pre_tokens(tokenizer_file)
         self.whole, self.ascii, self.latin = (Tokenizer.from_file(tokenizer_file) for _ in range(3))
         for plain in (self.ascii, self.latin):
             plain.normalizer = Sequence([])
@@ -99,6 +122,10 @@ class WordMemo:
         return PRE_TOKENS.findall(text.lower())
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        if not self.by_pieces:
+            for encoded in self.whole.encode_batch(texts, add_special_tokens=False):
+                yield np.array(encoded.ids, dtype="<u4").tobytes()
+            return
         split = [self._pieces(text) for text in texts]
         missing = set().union(*split).difference(self.known)
         self._learn(missing)

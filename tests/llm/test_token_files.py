@@ -69,3 +69,13 @@ def test_memo_stays_bounded(monkeypatch):
     for k in range(5):
         list(memo.encode([f"{a}{k}" for a in ("one", "two", "three", "four")] + ["x" * 100]))
     assert len(memo.known) <= 10 + 8
+
+
+def test_other_tokenizers_encode_whole_texts():
+    assert token_files.by_pre_tokens(PATH)
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    assert not token_files.by_pre_tokens(other)
+    memo, whole = WordMemo(other), Tokenizer.from_file(other)
+    texts = [t for t in TEXTS if t] + ["Tabs\tand  runs   of spaces", "UPPER lower's 123"]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in memo.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
