@@ -245,6 +245,28 @@ def experiment_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "expected_intents",
+    """SELECT page_id AS case_id, CASE page_id % 4 WHEN 0 THEN 'crawl_list' WHEN 1 THEN 'other'
+        ELSE CASE WHEN page_id % 3 = 0 THEN 'compare_price' WHEN page_id % 2 = 0 THEN 'crawl_list' ELSE 'extract_info' END END AS intent_type,
+      CASE WHEN page_id % 4 < 2 THEN true END AS intent_type_correct, CASE WHEN page_id % 5 = 0 THEN 'title|price' ELSE 'title' END AS requested_fields
+    FROM pages""",
+)
+def expected_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case's expected intent and fields override what its task and the model's reply say; empty and missing ones do not."""
+    n = F.col("case_id")
+    work = corpora.pages(spark, sf_dir).withColumnRenamed("page_id", "case_id").select(
+        "case_id", F.lit("m").alias("model"), F.lit("site").alias("site"), "url", F.when(n % 2 == 0, "get the list of titles").otherwise("get the title").alias("task"),
+        "html", F.lit(None).cast("string").alias("html_path"), F.create_map(F.lit("fetch"), F.lit(0.0)).alias("timings"), F.lit(None).cast("string").alias("expected_page_type"),
+        F.when(n % 4 == 0, "CRAWL_LIST").when(n % 4 == 1, "nonsense").when(n % 4 == 2, "").alias("expected_intent_type"),
+        F.when(n % 5 == 0, F.array(F.lit("title"), F.lit("price"))).when(n % 5 == 1, F.array().cast("array<string>")).alias("expected_fields"),
+        F.lit(None).cast(f"array<array<{CELL}>>").alias("expected_records"),
+        F.lit('{"page_type": "news"}').alias("typing_reply"), F.when(n % 3 == 0, '{"intent_type": "compare_price"}').alias("intent_reply"),
+        F.lit(None).cast("string").alias("strategy_reply"), F.array().cast("array<struct<attempt:int,content:string>>").alias("image_replies"),
+    )
+    return run_cases(work).select("case_id", "intent_type", "intent_type_correct", F.array_join("requested_fields", "|").alias("requested_fields"))
+
+
 _SUMMARY_SQL = f"""WITH {_RUNS} SELECT count(*) AS total_runs, round(avg(page_type_correct::INT), 6) AS page_type_accuracy,
       round(avg(CASE WHEN error IS NULL THEN NULL ELSE 0.0 END), 6) AS intent_type_accuracy,
       round(avg(strategy_field_hit_rate), 6)::DOUBLE AS strategy_field_hit_rate,
