@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators.extract import cell, pick
-from pagelake.operators.flows import missed_links, parsed_snapshots, rejected_starts, run_flows, walk_lists, walk_plans
+from pagelake.operators.flows import missed_links, parsed_snapshots, rejected_starts, run_flows, visited_pages, walk_lists, walk_plans
 from pagelake.operators.metrics import align_with_gold, latest_gold
 from pagelake.operators.sinks import write_json, write_run_document, write_text
 from pagelake.operators.strategies import build_strategies
@@ -134,3 +134,41 @@ def test_stored_snapshots_are_found_and_replaced(spark, tmp_path):
         store_snapshots(spark.createDataFrame([("http://h/a", None, html)], kind), str(tmp_path / "s"))
     cases = spark.createDataFrame([("http://h/a",)], "url string")
     assert [r.html for r in with_snapshots(cases, spark.read.parquet(str(tmp_path / "s"))).collect()] == ["second"]
+
+
+def _walked(spark, site, starts):
+    pages = spark.createDataFrame([(u, None, f"<html><body>{h}</body></html>") for u, h in site.items()], "requested_url string, final_url string, html string")
+    doms = write_through(parsed_snapshots(pages))
+    work = spark.createDataFrame(starts, "walk_id int, url string, page_type string, requested_fields array<string>, max_items int, reply string")
+    work = work.withColumns({"suggested_fields": F.lit(None).cast("array<string>"), "tag_counts": F.lit(None).cast("map<string,int>")})
+    plans = write_through(walk_plans(write_through(build_strategies(work, "reply").select("walk_id", "url", "page_type", "strategy"))))
+    got = {}
+    for r in sorted(walk_lists(plans, doms).collect(), key=lambda r: (r.walk_id, r.page_no)):
+        got.setdefault(r.walk_id, []).append(r.base_url)
+    return got, plans, doms
+
+
+def test_walks_go_on_over_other_hosts_and_join(spark):
+    """Next links lead from host to host, several walks meet, one page is missing and one leads to itself."""
+    nxt = lambda u: f'<b class="row">r</b><a class="next" href="{u}">n</a>'
+    site = {
+        "http://a/1": nxt("http://b/2"), "http://b/2": nxt("http://c/3"), "http://c/3": nxt("//d/4"), "http://d/4": nxt("/5"), "http://d/5": nxt("http://a/6"), "http://a/6": nxt("http://a/1"),
+        "http://e/1": nxt("http://d/4"), "http://f/1": nxt("http://gone/2"), "http://g/1": nxt("/1"), "http://h/1": nxt("http://h/2"), "http://h/2": nxt("http://h/1"),
+        "http://i/1": '<b class="row">r</b><a class="more" href="http://b/2">m</a><a class="next" href="http://c/3">n</a>',
+    }
+    reply = '{"item_link_selector": " ", "max_pages": %d, "pagination_selector": "%s", "field_selectors": {"title": ".row"}}'
+    starts = [(k, f"http://{h}/1", "list", ["title"], None, reply % (9, "a.next")) for k, h in enumerate("aefgh")]
+    starts += [(7, "http://i/1", "list", ["title"], None, reply % (9, "a.more")), (8, "http://a/1", "list", ["title"], None, reply % (3, "a.next")), (9, "http://a/1", "list", ["title"], 2, reply % (9, "a.next"))]
+    got, plans, doms = _walked(spark, site, starts)
+    assert got == {
+        0: ["http://a/1", "http://b/2", "http://c/3", "http://d/4", "http://d/5"], 1: ["http://e/1", "http://d/4", "http://d/5", "http://a/6", "http://a/1"],
+        2: ["http://f/1"], 3: ["http://g/1"], 4: ["http://h/1", "http://h/2"], 7: ["http://i/1", "http://b/2"], 8: ["http://a/1", "http://b/2", "http://c/3"], 9: ["http://a/1"],
+    }
+
+
+def test_paths_are_worked_out_without_page_bodies(spark):
+    nxt = lambda u: f'<b class="row">r</b><a class="next" href="{u}">n</a>'
+    reply = '{"item_link_selector": " ", "max_pages": 9, "pagination_selector": "a.next", "field_selectors": {"title": ".row"}}'
+    _, plans, doms = _walked(spark, {f"http://h/{k}": nxt(f"/{k + 1}") for k in range(6)}, [(1, "http://h/0", "list", ["title"], None, reply)])
+    shown = visited_pages(plans, doms)._jdf.queryExecution().executedPlan().toString()
+    assert "url_key" in shown and "nodes" not in shown and "texts" not in shown and "places" not in shown
