@@ -119,17 +119,12 @@ class PackRange(InputPartition):
         self.pack, self.low, self.high, self.body, self.size = pack, low, high, body, size
 
 
-class PageArchiveReader(DataSourceReader):
+class WholeArchiveReader(DataSourceReader):
+    """Reads every page. Spark refuses readers that take filters in sessions that push none, so this one takes none."""
+
     def __init__(self, path: str, split_bytes: int) -> None:
         self.path, self.split_bytes, self.filters = path, split_bytes, []
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for wanted in filters:
-            if _as_test(wanted):
-                self.filters.append(wanted)
-            else:
-                yield wanted
-
     def partitions(self) -> list[PackRange]:
         files, root = _open(f"{self.path}/manifest")
         # One row a pack, as many as files that a listing would name.
@@ -165,6 +160,17 @@ class PageArchiveReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays([urls.take(pa.array(some)), pa.array(pages, pa.binary()).cast(pa.string())], names=["url", "html"])
 
 
+class PageArchiveReader(WholeArchiveReader):
+    """Reads the pages that filters on the URL leave."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for wanted in filters:
+            if _as_test(wanted):
+                self.filters.append(wanted)
+            else:
+                yield wanted
+
+
 def _runs(rows: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[np.ndarray]:
     """Rows whose pages lie close together, as much of them as a batch may hold."""
     at = 0
@@ -184,12 +190,14 @@ class PageArchive(DataSource):
     def schema(self) -> str:
         return "url string, html string"
 
-    def reader(self, schema) -> PageArchiveReader:
-        return PageArchiveReader(self.options["path"].rstrip("/"), int(self.options.get("splitbytes", SPLIT_BYTES)))
+    def reader(self, schema) -> WholeArchiveReader:
+        kind = PageArchiveReader if self.options.get("takefilters") == "true" else WholeArchiveReader
+        return kind(self.options["path"].rstrip("/"), int(self.options.get("splitbytes", SPLIT_BYTES)))
 
 
 def read_archive(spark: SparkSession, path: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """(url, html) of an archive. Filters on ``url`` choose packs and byte ranges where
-    ``spark.sql.python.filterPushdown.enabled`` is set; else Spark applies them to all pages."""
+    ``spark.sql.python.filterPushdown.enabled`` is set; else Spark applies them to all pages. The session is asked here, once."""
     spark.dataSource.register(PageArchive)
-    return spark.read.format("pagearchive").option("splitBytes", str(split_bytes)).load(path)
+    pushed = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false").lower()
+    return spark.read.format("pagearchive").option("splitBytes", str(split_bytes)).option("takeFilters", pushed).load(path)

@@ -73,3 +73,13 @@ def test_an_archive_of_files_equals_the_files(spark, tmp_path):
 def test_an_empty_archive(spark, tmp_path):
     write_archive(spark.createDataFrame([], "url string, html string"), f"file://{tmp_path}/a")
     assert read_archive(spark, f"file://{tmp_path}/a").collect() == []
+
+
+@pytest.mark.parametrize("condition", CONDITIONS)
+def test_sessions_that_push_no_filters_read_the_same(spark, packed, condition):
+    every = spark.createDataFrame([(u, h or "") for u, h in PAGES], "url string, html string")
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    try:
+        assert rows(read_archive(spark, packed, 3000).where(condition)) == rows(every.where(condition))
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
