@@ -1,7 +1,7 @@
 """Page flows: single pages, galleries, lists, linked detail pages and pagination.
 
-Live fetching is replaced by equi-joins on the requested URL against parsed snapshots
-(``parsed_snapshots``). Single-page flows are projections of the page's own row.
+Live fetching is replaced by equi-joins on the requested URL against stored snapshots
+(``keyed_snapshots``, or parsed beforehand, ``parsed_snapshots``). Single-page flows are projections of the page's own row.
 """
 
 from __future__ import annotations
@@ -23,19 +23,28 @@ from pagelake.sources.snapshots import one_per_request
 MAX_PAGE_VISITS = 5
 ANY_IMAGE = "img"
 # Keys of a hundred bytes or so, and plans of a few kilobytes, that are broadcast to the pages.
-FEW_PAIRS, FEW_WAYS = 200_000, 5_000
+FEW_PAIRS, FEW_WAYS = 1_000_000, 5_000
 RECORD = "array<struct<field:string,kind:string,s:string,xs:array<string>>>"
 
 
-def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
-    """Snapshots as (url_key, base_url, has_html, texts, nodes, places): what the flows join against."""
-    keyed = one_per_request(snapshots).select(
+def keyed_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as (url_key, base_url, has_html, html), unparsed. Where flows join against them, they parse the pages they meet."""
+    return one_per_request(snapshots).select(
         F.col("request_url").alias("url_key"),
         final_or_requested(F.col("final_url"), F.col("requested_url")).alias("base_url"),
         (F.coalesce(F.length("html"), F.lit(0)) > 0).alias("has_html"),
         "html",
     )
-    return parse_html(keyed)
+
+
+def parsed_snapshots(snapshots: DataFrame) -> DataFrame:
+    """Snapshots as (url_key, base_url, has_html, texts, nodes, places): for flows that read nearly all pages."""
+    return parse_html(keyed_snapshots(snapshots))
+
+
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Rows with their pages parsed; rows of stored parsed pages as they are."""
+    return parse_html(rows) if "html" in rows.columns else rows
 
 
 def planned_fields(strategy: Column, with_images: bool = True) -> Column:
@@ -116,30 +125,37 @@ def _plan_of_each(plans: DataFrame, key: str, *columns: Column) -> DataFrame:
     return one.select(key, *columns)
 
 
-def _host(url: Column | str) -> Column:
-    return F.regexp_extract(url, r"^([^/?#]*//[^/?#]*)", 1)
-
+def page_links(plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Next links of the pages that walks can meet, as edges (next_selector, url_key, next_key), and these pages, parsed.
 
-def page_links(doms: DataFrame, wanted: DataFrame, folders: list[str] | None = None) -> DataFrame:
-    """Next links of the stored pages as edges: (next_selector, url_key, next_key).
-
-    ``wanted`` has (host, next_selector). Every page of a host is read once for each selector of the host. Where links
-    lead to other hosts the selector is wanted there as well, so those pages are read too. An action.
+    All walks take a step at a time. Walks that meet on a page with one selector go on as one, as far as any of them may
+    go, so a page is parsed once and read once for each selector. An action.
     """
-    page, wanted = Page("base_url"), wanted.distinct()
-    links = known = None
+    page, few = Page("base_url"), lambda keys: narrow_side(keys, keys.count(), FEW_PAIRS)
+    ways = write_through(plans.select("next_selector").distinct().withColumn("selector", parse_selector("next_selector")), "selectors", folders)
+    ways = narrow_side(ways, ways.count(), FEW_WAYS)
+    next_url = resolve_url(page.base, attr(page.first(F.col("selector")), "href"))
+    none = F.lit(None).cast("string")
+    links = doms.sparkSession.range(0).select(none.alias("next_selector"), none.alias("url_key"), none.alias("next_key"))
+    pages = None if "html" in doms.columns else doms
+    at = plans.groupBy(F.col("start_key").alias("url_key"), "next_selector").agg((F.max("max_pages") - 1).alias("left"))
     for _ in range(MAX_PAGE_VISITS):
-        asked = wanted.withColumn("selector", parse_selector("next_selector"))
-        next_url = resolve_url(page.base, attr(page.first(F.col("selector")), "href"))
-        read = doms.withColumn("host", _host("url_key")).join(asked, "host").select("next_selector", "url_key", request_url(next_url).alias("next_key"))
-        read = write_through(read.where("next_key is not null"), "links", folders)
-        links = read if links is None else links.unionByName(read)
-        known = wanted if known is None else known.unionByName(wanted)
-        elsewhere = read.where(_host("next_key") != _host("url_key")).select(_host("next_key").alias("host"), "next_selector").distinct()
-        wanted = elsewhere.join(known, ["host", "next_selector"], "left_anti")
-        if wanted.isEmpty():
+        at = write_through(at, "at", folders)
+        if at.isEmpty():
             break
-    return links
+        if "html" in doms.columns:
+            fresh = at.select("url_key").distinct()
+            fresh = fresh if pages is None else fresh.join(pages.select("url_key"), "url_key", "left_anti")
+            fresh = write_through(fresh, "fresh", folders)
+            met = write_through(parse_html(doms.join(few(fresh), "url_key")), "pages", folders)
+            pages = met if pages is None else pages.unionByName(met)
+        asked = write_through(at.where("left > 0").drop("left").join(links, ["next_selector", "url_key"], "left_anti"), "asked", folders)
+        if not asked.isEmpty():
+            read = pages.join(few(asked), "url_key").join(ways, "next_selector").select("next_selector", "url_key", request_url(next_url).alias("next_key"))
+            links = links.unionByName(write_through(read.where("next_key is not null"), "links", folders))
+        onward = at.where("left > 0").join(links, ["next_selector", "url_key"])
+        at = onward.groupBy(F.col("next_key").alias("url_key"), "next_selector").agg((F.max("left") - 1).alias("left"))
+    return links, pages
 
 
 def _paths(links: DataFrame, doms: DataFrame) -> DataFrame:
@@ -161,8 +177,10 @@ def _paths(links: DataFrame, doms: DataFrame) -> DataFrame:
 def visited_pages(plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
     """The stored pages each walk would visit if it had no ``max_items``, as (walk_id, page_no, url_key, base_url) with the
     walk's reading_key and max_items. An action."""
-    several = plans.where("max_pages > 1")
-    links = page_links(doms, several.select(_host("start_key").alias("host"), "next_selector"), folders)
+    return _visited(plans, doms, page_links(plans, doms, folders)[0])
+
+
+def _visited(plans: DataFrame, doms: DataFrame, links: DataFrame) -> DataFrame:
     start = doms.select(F.col("url_key").alias("start_key"), F.array(F.struct("url_key", "base_url")).alias("start"))
     onward = _paths(links, doms).withColumnRenamed("url_key", "start_key")
     pages = plans.drop("url", "strategy", "detail_key").join(start, "start_key").join(onward, ["next_selector", "start_key"], "left").select(
@@ -176,17 +194,21 @@ def visited_pages(plans: DataFrame, doms: DataFrame, folders: list[str] | None =
     return pages.select(*kept, F.posexplode(F.slice("pages", 1, until.cast("int"))).alias("page_no", "page")).select(*kept, "page_no", "page.*")
 
 
-def _pages_of(pairs: DataFrame, most_pairs: int, ways: DataFrame, most_ways: int, doms: DataFrame) -> DataFrame:
-    """Parsed pages of (page, way of reading) pairs with the way's columns; only keys and ways are moved, as long as they are few."""
+def _pages_of(pairs: DataFrame, ways: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """Parsed pages of (page, way of reading) pairs with the way's columns; only keys and ways are moved, as long as they are few.
+
+    Both are counted as they are, not by the walks behind them: many walks of a few ways must not deal their pages out by way.
+    """
     key = next(c for c in pairs.columns if c != "url_key")
-    pages = doms.drop("has_html").join(narrow_side(pairs, most_pairs, FEW_PAIRS), "url_key")
-    return pages.join(narrow_side(ways, most_ways, FEW_WAYS), key)
+    pairs, ways = write_through(pairs, "pairs", folders), write_through(ways, "ways", folders)
+    pages = _parsed(doms.drop("has_html").join(narrow_side(pairs, pairs.count(), FEW_PAIRS), "url_key"))
+    return pages.join(narrow_side(ways, ways.count(), FEW_WAYS), key)
 
 
-def read_lists(visits: DataFrame, plans: DataFrame, doms: DataFrame) -> DataFrame:
+def read_lists(visits: DataFrame, plans: DataFrame, doms: DataFrame, pages: DataFrame | None = None, folders: list[str] | None = None) -> DataFrame:
     """What the visited pages say: (url_key, reading_key, stored, missed, inline), one row per page and way of reading it.
 
-    ``stored`` and ``missed`` are the targets of the item links, by whether their page is among the snapshots.
+    ``pages`` has the visited ones of ``doms`` parsed, if they are. ``stored`` and ``missed`` are the targets of the item links, by whether their page is among the snapshots.
     """
     page, strategy = Page("base_url"), F.col("strategy")
     ways = _plan_of_each(
@@ -194,7 +216,7 @@ def read_lists(visits: DataFrame, plans: DataFrame, doms: DataFrame) -> DataFram
         strategy.max_depth.alias("max_depth"), strategy.max_items.alias("max_items"), with_parsed(fields_of(strategy)).alias("inline_fields"),
     )
     pairs = visits.select("url_key", "reading_key").distinct()
-    read = _pages_of(pairs, visits.count(), ways, plans.count(), doms).select(
+    read = _pages_of(pairs, ways, doms if pages is None else pages, folders).select(
         "url_key", "reading_key", F.when(F.col("follows"), detail_targets(page, F.col("links"), F.col("max_depth"))).alias("targets"),
         F.when(~F.col("follows"), inline_records(page, F.col("inline_fields"), F.col("max_items"))).cast(f"array<{RECORD}>").alias("inline"),
     )
@@ -216,15 +238,21 @@ def walk_lists(plans: DataFrame, doms: DataFrame, folders: list[str] | None = No
     over a walk's pages decide where ``max_items`` ends it. Only targets whose page is stored count, since only they
     give records. ``plans`` and ``doms`` should be stored. Result: one row per visited page.
     """
-    met = write_through(visited_pages(plans, doms, folders), "met", folders)
-    read = write_through(read_lists(met, plans, doms), "read", folders)
+    return _walked(plans, doms, folders)[0]
+
+
+def _walked(plans: DataFrame, doms: DataFrame, folders: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """The visits of ``walk_lists``, and the pages that walks can meet, parsed."""
+    links, pages = page_links(plans, doms, folders)
+    met = write_through(_visited(plans, doms, links), "met", folders)
+    read = write_through(read_lists(met, plans, doms, pages, folders), "read", folders)
     visits = met.join(read, ["url_key", "reading_key"])
     found = F.size("stored") + F.coalesce(F.when(F.size("inline") > 0, F.size("inline")), F.lit(0))
     # At most five rows a walk.
     so_far = F.sum("found").over(Window.partitionBy("walk_id").orderBy("page_no")).cast("int")
     counted = visits.withColumn("found", found).withColumn("n_after", so_far).withColumn("n_before", F.col("n_after") - F.col("found"))
     going_on = (F.col("page_no") == 0) | F.coalesce(F.col("n_before") < _positive(F.col("max_items")), F.lit(True))
-    return counted.where(going_on).select("walk_id", "page_no", "base_url", "max_items", "n_before", "n_after", "stored", "missed", "inline")
+    return counted.where(going_on).select("walk_id", "page_no", "base_url", "max_items", "n_before", "n_after", "stored", "missed", "inline"), pages
 
 
 def _within_max_items(df: DataFrame) -> DataFrame:
@@ -237,7 +265,7 @@ def detail_links(visits: DataFrame) -> DataFrame:
     return _within_max_items(exploded.withColumn("record_no", F.col("n_before") + F.col("pos"))).select("walk_id", "record_no", "target")
 
 
-def follow_details(links: DataFrame, plans: DataFrame, doms: DataFrame) -> DataFrame:
+def follow_details(links: DataFrame, plans: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
     """Records of the linked pages.
 
     Many links may lead to one page, so each (page, plan) pair is reduced to one row before the
@@ -246,7 +274,7 @@ def follow_details(links: DataFrame, plans: DataFrame, doms: DataFrame) -> DataF
     fields = with_parsed(planned_fields(F.col("strategy"), with_images=False))
     ways = _plan_of_each(plans, "detail_key", fields.alias("fields"), F.col("strategy").max_items.alias("max_items"))
     keyed = links.select("walk_id", "record_no", request_url("target").alias("url_key")).join(plans.select("walk_id", "detail_key"), "walk_id")
-    read = _pages_of(keyed.select("url_key", "detail_key").distinct(), links.count(), ways, plans.count(), doms).select(
+    read = _pages_of(keyed.select("url_key", "detail_key").distinct(), ways, doms, folders).select(
         "url_key", "detail_key", F.col("base_url").alias("page_url"), extract_record(Page("base_url"), F.col("fields"), F.col("max_items")).alias("record"),
     )
     return keyed.join(read, ["url_key", "detail_key"]).select("walk_id", "record_no", "page_url", "record")
@@ -266,8 +294,8 @@ def rejected_starts(starts: DataFrame, doms: DataFrame) -> DataFrame:
 def list_records(starts: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
     """Records of list starts: detail pages or inline rows; the page itself when a walk gives none."""
     plans = write_through(walk_plans(starts), "plans", folders)
-    visits = walk_lists(plans, doms, folders)
-    details = follow_details(detail_links(visits), plans, doms)
+    visits, pages = _walked(plans, doms, folders)
+    details = follow_details(detail_links(visits), plans, doms, folders)
     inline = _within_max_items(
         visits.select(
             "walk_id", "max_items", "n_before", F.col("base_url").alias("page_url"),
@@ -277,7 +305,7 @@ def list_records(starts: DataFrame, doms: DataFrame, folders: list[str] | None =
     fruitful = visits.filter(F.col("n_after") > 0).select("walk_id").distinct()
     barren = plans.select("walk_id", F.col("start_key").alias("url_key"), "strategy").join(fruitful, "walk_id", "left_anti")
     own = (
-        doms.join(narrow_side(barren, plans.count(), FEW_WAYS), "url_key")
+        pages.join(narrow_side(barren, plans.count(), FEW_WAYS), "url_key")
         .filter("has_html")
         .select("walk_id", F.lit(0).alias("record_no"), F.col("base_url").alias("page_url"),
                 page_record(F.col("strategy")).alias("record"))
@@ -288,12 +316,12 @@ def list_records(starts: DataFrame, doms: DataFrame, folders: list[str] | None =
 def run_flows(starts: DataFrame, doms: DataFrame, folders: list[str] | None = None) -> DataFrame:
     """Records (walk_id, record_no, page_url, record) of every start (walk_id, url, page_type, strategy).
 
-    ``starts`` and ``doms`` should be stored. The page type is a column of its own: a filter on a part of a computed
+    ``starts`` and ``doms`` (parsed or unparsed snapshots) should be stored. The page type is a column of its own: a filter on a part of a computed
     strategy would be pushed below it and compute the strategy again.
     """
     is_list = F.col("page_type") == "list"
     single = starts.filter(~is_list).withColumn("url_key", request_url("url")).join(doms, "url_key")
-    single = single_page_records(single).select("walk_id", "record_no", "page_url", "record")
+    single = single_page_records(_parsed(single)).select("walk_id", "record_no", "page_url", "record")
     return single.unionByName(list_records(starts.filter(is_list), doms, folders))
 
 

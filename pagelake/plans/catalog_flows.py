@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagelake.functions.urls import request_url
 from pagelake.operators.extract import pick
-from pagelake.operators.flows import missed_links, parsed_snapshots, run_flows, walk_lists, walk_plans
+from pagelake.operators.flows import keyed_snapshots, missed_links, run_flows, walk_lists, walk_plans
 from pagelake.operators.sinks import cell_text
 from pagelake.operators.strategies import build_strategies
 from pagelake.plans import corpora, site
@@ -56,7 +56,7 @@ def _starts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _doms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return write_through(parsed_snapshots(corpora.shop_snapshots(spark, sf_dir)), "doms")
+    return write_through(keyed_snapshots(corpora.shop_snapshots(spark, sf_dir)), "doms")
 
 
 @query(

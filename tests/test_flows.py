@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagelake.operators.extract import cell, pick
-from pagelake.operators.flows import missed_links, parsed_snapshots, rejected_starts, run_flows, visited_pages, walk_lists, walk_plans
+from pagelake.operators.flows import keyed_snapshots, missed_links, page_links, parsed_snapshots, rejected_starts, run_flows, visited_pages, walk_lists, walk_plans
 from pagelake.operators.metrics import align_with_gold, latest_gold
 from pagelake.operators.sinks import write_json, write_run_document, write_text
 from pagelake.operators.strategies import build_strategies
@@ -172,3 +172,14 @@ def test_paths_are_worked_out_without_page_bodies(spark):
     _, plans, doms = _walked(spark, {f"http://h/{k}": nxt(f"/{k + 1}") for k in range(6)}, [(1, "http://h/0", "list", ["title"], None, reply)])
     shown = visited_pages(plans, doms)._jdf.queryExecution().executedPlan().toString()
     assert "url_key" in shown and "nodes" not in shown and "texts" not in shown and "places" not in shown
+
+
+def test_unparsed_snapshots_give_the_same_and_only_met_pages_are_parsed(spark, site, records):
+    snapshots, starts, _ = site
+    doms = write_through(keyed_snapshots(snapshots))
+    got = run_flows(starts, doms).select("walk_id", F.col("record_no").alias("no"), pick(F.col("record"), "title").s.alias("title")).collect()
+    assert sorted((r.walk_id, r.no, r.title) for r in got) == sorted((w, n, t) for w, rows in records.items() for n, t, *_ in rows)
+    plans = write_through(walk_plans(starts.where("page_type = 'list'")))
+    links, pages = page_links(plans, doms)
+    assert sorted(r.url_key for r in pages.select("url_key").collect()) == sorted(["http://h/list", "http://h/list2", "http://h/alone", *[f"http://h/chain{k}" for k in range(5)]])
+    assert links.count() == links.distinct().count() == 6
