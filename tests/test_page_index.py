@@ -102,3 +102,19 @@ def test_a_page_of_four_megabytes_is_read_in_seconds():
         start = time.perf_counter()
         _Columns().add_page(unit * (4_000_000 // len(unit)))
         assert time.perf_counter() - start < 10
+
+
+def test_parsing_holds_few_nodes_at_once(spark, monkeypatch):
+    """Whatever the input, batches that leave the parser have little more than 10,000 nodes."""
+    import pyarrow as pa
+
+    from pagelake.sources.html import parse_html
+
+    pages = spark.createDataFrame([(1, "")], "page_id int, html string")
+    kept = {}
+    monkeypatch.setattr(type(pages), "mapInArrow", lambda self, run, schema: kept.setdefault("run", run))
+    parse_html(pages)
+    page = "<p>x</p>" * 1_000
+    out = list(kept["run"](iter([pa.RecordBatch.from_pydict({"page_id": pa.array(range(50), pa.int32()), "html": [page] * 50})])))
+    sizes = [sum(len(nodes) for nodes in batch.column(2).to_pylist()) for batch in out]
+    assert sum(batch.num_rows for batch in out) == 50 and max(sizes) < 12_000
