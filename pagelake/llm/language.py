@@ -13,6 +13,7 @@ The model is fitted on a sample bounded by ``SAMPLE_PER_LANGUAGE`` and ``SAMPLE_
 from __future__ import annotations
 
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,6 +67,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class LanguageModel:
     def __init__(self, languages: list[str], features: dict[str, int], weights: np.ndarray, trans: np.ndarray, start: np.ndarray):
         self.languages, self.features, self.weights, self.trans, self.start = languages, features, weights, trans, start
+        self.index = self._index()
         self._forget()
 
     def __getstate__(self):
@@ -74,6 +76,50 @@ class LanguageModel:
     def __setstate__(self, state):
         self.__init__(*state)
 
+    def _index(self) -> tuple[np.ndarray, int, np.ndarray, np.ndarray] | None:
+        """Numbers of the features' letters, bits a number takes, the features as packed numbers, sorted, and their places;
+        None where the letters are too many to pack four of them."""
+        grams = [f for f in self.features if not f.startswith("=")]
+        letters = sorted(set("".join(grams)))
+        bits = len(letters).bit_length()
+        if 4 * bits > 63:
+            return None
+        number = np.zeros(sys.maxunicode + 1, np.uint16)
+        number[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        of = {c: k for k, c in enumerate(letters, 1)}
+        packed = np.array([sum(of[c] << bits * k for k, c in enumerate(reversed(f))) for f in grams], np.int64)
+        order = np.argsort(packed)
+        return number, bits, packed[order], np.array([self.features[f] for f in grams], np.int64)[order]
+
+    def _sums(self, words: list[str]) -> np.ndarray:
+        """Summed weights of the words' n-grams, for all words at once. A number packs an n-gram; no letter has number 0, so
+        n-grams of different lengths never share one."""
+        size = self.weights.shape[1]
+        if self.index is None or not len(self.index[2]):
+            rows = np.zeros((len(words), size))
+            for k, word in enumerate(words):
+                for f in features_of(word):
+                    if f in self.features:
+                        rows[k] += self.weights[self.features[f]]
+            return rows
+        number, bits, packed, places = self.index
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        letters = number[np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        owner = np.repeat(np.arange(len(words)), lengths)
+        left = np.cumsum(lengths)[owner] - np.arange(len(owner))
+        owners, found, grams, whole = [], [], letters, letters > 0
+        for n in (2, 3, 4):
+            # Every n-gram is the one before it and a letter more.
+            grams = (grams[:-1] << bits) | letters[n - 1 :]
+            whole = whole[:-1] & (letters[n - 1 :] > 0)
+            some = np.flatnonzero(whole & (left[: len(grams)] >= n))
+            at = np.minimum(np.searchsorted(packed, grams[some]), len(packed) - 1)
+            hit = packed[at] == grams[some]
+            owners.append(owner[some[hit]])
+            found.append(places[at[hit]])
+        owners, found = np.concatenate(owners), np.concatenate(found)
+        return np.stack([np.bincount(owners, self.weights[found, k], len(words)) for k in range(size)], axis=1)
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.table = np.zeros((0, len(self.languages)))
@@ -83,18 +129,9 @@ class LanguageModel:
         known = self.known
         fresh = list(set(words).difference(known))
         if fresh:
-            get = self.features.get
-            flat, sizes = [], []
-            for word in fresh:
-                own = [k for f in features_of(word) if (k := get(f)) is not None]
-                lexicon = get("=" + word)
-                if lexicon is not None:
-                    own.append(lexicon)
-                flat += own
-                sizes.append(len(own))
-            sums = np.concatenate([np.zeros((1, self.weights.shape[1])), np.cumsum(self.weights[np.array(flat, np.int64)], axis=0)])
-            edges = np.concatenate([[0], np.cumsum(sizes)])
-            rows = sums[edges[1:]] - sums[edges[:-1]]
+            rows = self._sums(fresh)
+            lexicon = np.fromiter((self.features.get("=" + w, -1) for w in fresh), np.int64, len(fresh))
+            rows[lexicon >= 0] += self.weights[lexicon[lexicon >= 0]]
             known.update(zip(fresh, range(len(self.table), len(self.table) + len(fresh))))
             self.table = np.concatenate([self.table, rows])
         emit = self.table[np.fromiter(map(known.__getitem__, words), np.int64, len(words))]

@@ -3,7 +3,7 @@
 import numpy as np
 
 from pagelake.llm.holdout import held_out
-from pagelake.llm.language import fit_language_model, identified, learned_model, words_of
+from pagelake.llm.language import features_of, fit_language_model, identified, learned_model, words_of
 
 
 def test_held_out_accuracy(spark):
@@ -32,3 +32,12 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in identified(docs, learned_model(docs.limit(0))).collect()} == {"und"}
     assert identified(docs.limit(0), None).collect() == []
     assert words_of("L'été 2020, ÜBER_alles") == ["l", "été", "über", "alles"]
+
+
+def test_words_scored_together_score_as_their_features_do():
+    windows = [["das", "haus", "straße", "über"], ["the", "house", "street", "over"], ["дом", "улица", "над", "дом"]] * 4
+    model = fit_language_model(["de", "en", "ru"] * 4, windows)
+    words = ["haus", "a", "дома", "x" * 300, "öß", "漢字", "\U00010400b", "streets", "\ud800", "the"]
+    want = [sum((model.weights[model.features[f]] for f in [*features_of(w), "=" + w] if f in model.features), np.zeros(3)) for w in words]
+    assert np.allclose(model.emissions(words), want)
+    assert np.abs(want).sum() > 0
