@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagelake.session import shared_folder
+from pagelake.session import shared_folder, small_batches
 
 FRAME_IDS = 65_536
 END_ID = 2
@@ -85,7 +85,9 @@ class WordMemo:
         from tokenizers.pre_tokenizers import Sequence as Steps
 
         self.by_pieces = by_pre_tokens(tokenizer_file)
-        self.whole, self.ascii, self.latin = (Tokenizer.from_file(tokenizer_file) for _ in range(3))
+        self.whole = Tokenizer.from_file(tokenizer_file)
+        # Of the same model, which is held once.
+        self.ascii, self.latin = Tokenizer(self.whole.model), Tokenizer(self.whole.model)
         for plain in (self.ascii, self.latin):
             plain.normalizer = Sequence([])
         self.ascii.pre_tokenizer = WhitespaceSplit()
@@ -287,7 +289,8 @@ def write_token_files(docs: DataFrame, tokenizer_file: str, folder: str, end_id:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
         .repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     )
-    files = ordered.mapInArrow(write, "file long, path string, n_docs long, n_ids long").collect()
+    with small_batches(docs.sparkSession):
+        files = ordered.mapInArrow(write, "file long, path string, n_docs long, n_ids long").collect()
     start, out = 0, []
     for row in sorted(files, key=lambda r: r["file"]):
         out.append({"path": row["path"], "start": start, "n_docs": row["n_docs"], "n_ids": row["n_ids"]})

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -75,6 +77,24 @@ def write_through(df: DataFrame, name: str = "step", folders: list[str] | None =
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions within give Python workers batches of no more rows than ``SESSION_DEFAULTS`` names, whatever the session allows.
+
+    For rows that hold whole texts: a batch stands in the memory of the executor and of its worker at once.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own, most = spark.conf.get(key), SESSION_DEFAULTS[key]
+    if 0 < int(own) <= int(most):
+        yield
+        return
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def narrow_side(rows: DataFrame, at_most: int, limit: int) -> DataFrame:
     """The narrow side of a join with parsed pages, which must not be the side that moves.
 

@@ -79,3 +79,27 @@ def test_other_tokenizers_encode_whole_texts():
     texts = [t for t in TEXTS if t] + ["Tabs\tand  runs   of spaces", "UPPER lower's 123"]
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in memo.encode(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_writers_hold_few_texts_and_one_model(spark, tmp_path, monkeypatch):
+    """A writer is given 512 documents at most at once, also in sessions of larger batches, which keep their bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "10000")
+    try:
+        docs = spark.range(3000).selectExpr("id as doc_id", "'alpha beta ' || id as text").coalesce(1)
+        seen = spark.sparkContext.accumulator(0)
+
+        class Counted(token_files.WordMemo):
+            def encode(self, texts):
+                seen.add(len(texts) > 512)
+                return super().encode(texts)
+
+        monkeypatch.setattr(token_files, "memo", Counted)
+        rows = token_digest(docs, PATH, f"file://{tmp_path}/t").collect()
+        assert len(rows) == 3000 and seen.value == 0 and spark.conf.get(key) == "10000"
+    finally:
+        spark.conf.set(key, before)
+    memo = WordMemo(PATH)
+    memo.whole.model.dropout = 0.5
+    assert memo.ascii.model.dropout == memo.latin.model.dropout == 0.5
