@@ -2,14 +2,18 @@
 
 * Candidates are the three base patterns, which always stay, and every run of 12 or more key-like characters that
   has a digit and a letter, or both cases, unless a base span holds all of it.
-* Labelled findings: documents carry no labels for secrets, so learning uses the base findings of a bounded sample
-  of the documents as positives, and their other candidates, e-mail addresses, links and plain words as negatives, with
+* Labelled findings: documents carry no labels for secrets, so learning uses the base findings of all documents as
+  positives, and their other candidates, e-mail addresses, links and a plain word of each document as negatives, with
   seeded examples of known key formats and of harmless look-alikes (identifiers, dates, versions, file names) put
-  into the contexts of the sample. What has the form of a seeded key is left without a label.
+  into contexts of negatives. What has the form of a seeded key is left without a label.
+* Examples are dealt by hash into blocks of bounded size. In each round tasks take the network through all of their
+  blocks, a block at a time from the same weights, and the driver gets the sum of weights of each task. One block of
+  examples is learned in one task, over more passes.
 * The network embeds the characters of a window of 64 and of 24 before and 12 after, convolves, takes maxima, and passes
   a hidden layer. A longer candidate is covered by windows half a window apart, and its score is that of the strongest, in
-  learning and scoring alike. Platt scaling on a holdout calibrates its scores; the cutoff is the largest
-  that keeps ``RECALL`` of the holdout's seeded keys, as it decides on nothing but candidates outside the base.
+  learning and scoring alike. Platt scaling on a holdout, a quarter of all examples, calibrates its scores, counted by
+  thousandths; the cutoff is the largest thousandth that keeps ``RECALL`` of the holdout's seeded keys, as it decides on
+  nothing but candidates outside the base.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagelake.llm.crf import Adam
+from pagelake.session import remove_folder, write_through
 
 KINDS = ("assign", "access", "hex", "key")
 RECALL = 0.98
-SAMPLE_DOCS, SAMPLE_PER_DOC = 4000, 4
-#: Seeded examples: so many at least, and one for so many findings of the sample, so that keys keep their share of it.
+#: Seeded examples: about so many at least, and one for so many others, so that keys keep their share of all.
 SYNTHETIC, FOUND_PER_SEEDED = 700, 5
-EPOCHS, RATE, BATCH = 12, 0.01, 128
+#: Passes over the examples: of a single block, and rounds of one pass where there are several.
+EPOCHS, ROUNDS = 12, 4
+RATE, BATCH = 0.01, 128
+#: Examples and bytes of a block, on average.
+BLOCK, BLOCK_BYTES = 16_384, 1 << 22
 BEFORE, INSIDE, AFTER = 24, 64, 12
-#: Windows of a sampled example, evenly spaced where it has more; scoring looks at all.
-SAMPLE_WINDOWS = 8
+#: Steps of a score in which the holdout is counted, steps of a weight in which weights are summed: whole numbers add up the same in any order.
+SCORE_STEPS, WEIGHT_STEPS = 1000, 1 << 28
 LENGTH = BEFORE + INSIDE + AFTER
 EMBED, FILTERS, WIDTH, HIDDEN = 8, 24, 5, 16
 
@@ -98,6 +106,26 @@ def encoded(text: str, start: int, end: int) -> np.ndarray:
     return np.frombuffer(whole.encode("ascii", "replace").replace(b"?", b"\1"), np.uint8).astype(np.int64) & 127
 
 
+def packed(text: str, start: int, end: int) -> bytes:
+    """A candidate of any length and the characters around it, numbered as in ``encoded``."""
+    whole = text[max(0, start - BEFORE) : start].rjust(BEFORE, "\0") + text[start:end] + text[end : end + AFTER].ljust(AFTER, "\0")
+    return whole.encode("ascii", "replace").replace(b"?", b"\1")
+
+
+def unpacked(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all examples as ``encoded`` gives them, and each example's number of windows."""
+    out, sizes = [], []
+    for example in examples:
+        inner = len(example) - BEFORE - AFTER
+        of = windows(0, inner)
+        sizes.append(len(of))
+        if inner <= INSIDE:
+            out.append(example[: BEFORE + inner].ljust(BEFORE + INSIDE, b"\0") + example[BEFORE + inner :])
+        else:
+            out += [example[low : low + LENGTH] for low, _ in of]
+    return np.frombuffer(b"".join(out), np.uint8).reshape(-1, LENGTH) & 127, np.array(sizes, np.int64)
+
+
 class CharNetwork:
     """Embedding, convolution, maximum over places (inside and outside the candidate apart), hidden layer, logistic output."""
 
@@ -136,13 +164,15 @@ class CharNetwork:
         """Of every candidate, which has the next ``sizes`` windows, the position of the one with the largest score."""
         if (sizes == 1).all():
             return np.arange(len(codes))
-        z, owner = self.logits(codes), np.repeat(np.arange(len(sizes)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        z, several = np.zeros(len(codes)), np.repeat(sizes > 1, sizes)
+        z[several] = self.logits(codes[several])
         return np.lexsort((z, owner))[np.cumsum(sizes) - 1]
 
-    def fit(self, codes: np.ndarray, labels: np.ndarray, sizes: np.ndarray | None = None, seed: int = 4) -> None:
+    def fit(self, codes: np.ndarray, labels: np.ndarray, sizes: np.ndarray | None = None, seed: int = 4, epochs: int = EPOCHS) -> None:
         rng = np.random.default_rng(seed)
         adam = Adam([v.shape for v in self.values], RATE)
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             best = self.strongest(codes, np.ones(len(codes), int) if sizes is None else sizes)
             order = rng.permutation(len(best))
             for at in range(0, len(order), BATCH):
@@ -170,18 +200,24 @@ class CharNetwork:
     def calibrate(self, codes: np.ndarray, labels: np.ndarray, recall: float = RECALL, decided: np.ndarray | None = None) -> None:
         """Platt scaling, then the largest cutoff that keeps ``recall`` of the holdout's positives of the kind it decides on
         (``decided``; all positives, if not given)."""
-        z = self.logits(codes)
+        self.calibrate_scores(self.logits(codes), labels, np.ones(len(labels)), recall, decided)
+
+    def calibrate_scores(self, z: np.ndarray, labels: np.ndarray, counts: np.ndarray, recall: float = RECALL, decided: np.ndarray | None = None) -> None:
+        """As ``calibrate``, from the raw scores and how often each occurs."""
         values = [np.array([1.0]), np.array([0.0])]
         adam = Adam([(1,), (1,)], 0.05)
-        positive = max(1, int(labels.sum()))
-        target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (len(labels) - positive + 2))
+        positive, every = max(1, int(counts[labels > 0].sum())), max(1, counts.sum())
+        target = np.where(labels > 0, (positive + 1) / (positive + 2), 1 / (every - positive + 2))
         for _ in range(400):
-            miss = target - 1 / (1 + np.exp(-np.clip(values[0] * z + values[1], -30, 30)))
-            adam.step(values, [np.array([(miss * z).mean()]), np.array([miss.mean()])])
+            miss = counts * (target - 1 / (1 + np.exp(-np.clip(values[0] * z + values[1], -30, 30))))
+            adam.step(values, [np.array([(miss * z).sum() / every]), np.array([miss.sum() / every])])
         self.scale, self.shift = float(values[0][0]), float(values[1][0])
-        own = np.sort(self.probabilities(codes[(labels > 0) if decided is None else (labels > 0) & decided]))
-        if len(own):
-            self.cutoff = float(own[int(np.floor((1 - recall) * len(own)))])
+        own = (labels > 0) if decided is None else (labels > 0) & decided
+        chance = 1 / (1 + np.exp(-np.clip(self.scale * z[own] + self.shift, -30, 30)))
+        if len(chance):
+            order = np.argsort(chance, kind="stable")
+            below = np.cumsum(counts[own][order])
+            self.cutoff = float(chance[order][np.searchsorted(below, np.floor((1 - recall) * below[-1]), side="right")])
 
 
 def made_values(rng: np.random.Generator) -> tuple[str, int]:
@@ -214,67 +250,126 @@ def made_values(rng: np.random.Generator) -> tuple[str, int]:
     return pick(lower, int(rng.integers(12, 24))) + pick(digits, int(rng.integers(1, 3))), 0
 
 
-def sampled(text: str, start: int, end: int) -> list[list[int]]:
-    every = windows(start, end)
-    some = every if len(every) <= SAMPLE_WINDOWS else [every[k] for k in np.linspace(0, len(every) - 1, SAMPLE_WINDOWS).astype(int)]
-    return [encoded(text, s, e).tolist() for s, e in some]
+EXAMPLE = "number long, place long, label int, codes binary"
+EXAMPLE_ARROW = pa.schema([("number", pa.int64()), ("place", pa.int64()), ("label", pa.int32()), ("codes", pa.binary())])
 
 
 def _findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(codes, label, place) of a document's candidates, at most SAMPLE_PER_DOC of each kind and as many plain words."""
+    """Every candidate of a document as an example (label 1: base) and one plain word, with doc_id and place."""
     for batch in batches:
-        out = {"codes": [], "label": [], "around": []}
+        rows = []
         for number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            text = text or ""
-            rng = np.random.default_rng((number or 0) % (1 << 32))
+            number = number or 0
             found = candidates(text)
-            for base in (True, False):
+            for start, end, _, base in found:
                 # A run with a base span in it is no example of the harmless.
-                own = [s for s in found if s[3] == base and (base or not (may_be_key(text[s[0] : s[1]]) or base_spans(text[s[0] : s[1]])))]
-                for k in rng.permutation(len(own))[:SAMPLE_PER_DOC]:
-                    start, end, *_ = own[k]
-                    out["codes"].append(sampled(text, start, end))
-                    out["label"].append(int(base))
-                    out["around"].append([text[max(0, start - BEFORE) : start], text[end : end + AFTER]])
+                if base or not (may_be_key(text[start:end]) or base_spans(text[start:end])):
+                    rows.append((number, start, int(base), packed(text, start, end)))
             if len(text) > 200:
-                at = int(rng.integers(0, len(text) - 100))
+                at = int(np.random.default_rng(number % (1 << 32)).integers(0, len(text) - 100))
                 cut = text.find(" ", at) + 1
                 stop = text.find(" ", cut + 1)
                 if 0 < cut < stop and not may_be_key(text[cut:stop]) and not any(s < stop and cut < e for s, e, _, base in found if base):
-                    out["codes"].append(sampled(text, cut, stop))
-                    out["label"].append(0)
-                    out["around"].append([text[max(0, cut - BEFORE) : cut], text[cut : cut + AFTER]])
-        yield pa.RecordBatch.from_pydict(out, pa.schema([("codes", pa.list_(pa.list_(pa.int64()))), ("label", pa.int32()), ("around", pa.list_(pa.string()))]))
+                    rows.append((number, -1 - cut, 0, packed(text, cut, stop)))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, EXAMPLE_ARROW)], schema=EXAMPLE_ARROW)
+
+
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (draw, times, codes): so many made values in that example's place."""
+    for batch in batches:
+        rows = []
+        for draw, times, codes in zip(*(c.to_pylist() for c in batch.columns)):
+            for k in range(times):
+                value, label = made_values(np.random.default_rng([draw % (1 << 64), k]))
+                rows.append((draw, k, label, codes[:BEFORE] + value.encode() + codes[-AFTER:]))
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 4, EXAMPLE_ARROW)], schema=EXAMPLE_ARROW)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Number, windows, labels, sizes and whether seeded of each block."""
+    for batch in batches:
+        for block, rows in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows = rows.values.flatten()
+            windows, sizes = unpacked(rows[2].to_pylist())
+            yield block, windows, np.asarray(rows[3]).astype(float), sizes, np.asarray(rows[1]) > 0
+
+
+def _passed(shared, epochs: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = CharNetwork()
+        n, sums = 0, [np.zeros(v.shape, np.int64) for v in network.values]
+        for block, codes, labels, sizes, _ in _blocks(batches):
+            network.values = [v.copy() for v in shared.value.values]
+            network.fit(codes, labels, sizes, block, epochs)
+            n += len(labels)
+            for total, value in zip(sums, network.values):
+                total += np.rint(value * WEIGHT_STEPS).astype(np.int64) * len(labels)
+        if n:
+            yield pa.RecordBatch.from_pydict({"n": [n], "sums": [np.concatenate([v.ravel() for v in sums]).tobytes()]})
+
+    return run
+
+
+def _counted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        network = shared.value
+        for _, codes, labels, sizes, seeded in _blocks(batches):
+            z = np.rint(np.clip(network.logits(codes[network.strongest(codes, sizes)]), -1000, 1000) * SCORE_STEPS).astype(np.int64)
+            kinds, counts = np.unique(np.stack([z, labels.astype(np.int64), seeded.astype(np.int64)]), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*map(pa.array, kinds), pa.array(counts, pa.int64())], names=["z", "label", "seeded", "n"])
+
+    return run
+
+
+def learning_examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folders: list[str] | None = None) -> DataFrame:
+    """draw, seeded, codes and label of every example of every text. An action; its folder is added to ``folders``."""
+    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).where("body is not null")
+    found = write_through(rows.mapInArrow(_findings, EXAMPLE).withColumn("draw", F.xxhash64("number", "place", "label")), "findings", folders)
+    counts = found.agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 0, 1)).alias("places")).first()
+    seeded = max(SYNTHETIC, counts["n"] // FOUND_PER_SEEDED)
+    if counts["places"]:
+        whole, rest = divmod(seeded * 1_000_000 // counts["places"], 1_000_000)
+        times = F.lit(whole) + (F.pmod(F.xxhash64("draw", F.lit(5)), F.lit(1_000_000)) < rest).cast("int")
+        places = found.where("label = 0").select("draw", times.cast("int").alias("times"), "codes").where("times > 0")
+    else:
+        places = spark.range(seeded).select(F.xxhash64("id").alias("draw"), F.lit(1).alias("times"), F.lit(bytes(BEFORE + AFTER)).alias("codes"))
+    made = write_through(places.mapInArrow(_seeded, EXAMPLE).withColumn("draw", F.xxhash64("number", "place", F.lit("seeded"))), "seeded", folders)
+    columns = "draw", "seeded", "codes", "label"
+    return found.withColumn("seeded", F.lit(0)).select(*columns).unionByName(made.withColumn("seeded", F.lit(1)).select(*columns))
 
 
 def learned_network(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> CharNetwork:
-    """Fits, calibrates and cuts on a sample bounded by SAMPLE_DOCS documents with findings and as many of any kind."""
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).where("doc_id is not null and body is not null")
-    likely = F.col("body").rlike("AKIA|[0-9a-f]{16}|(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]")
-    place = F.pmod(F.xxhash64("doc_id", F.lit(23)), F.lit(1_000_000))
-    counts = rows.select(F.count("*").alias("n"), F.count(F.when(likely, 1)).alias("likely")).first()
-    share = lambda n: int(min(1.0, SAMPLE_DOCS / max(1, n)) * 1_000_000)
-    sample = rows.where((likely & (place < share(counts["likely"]))) | (place < share(counts["n"])))
-    got = sample.mapInArrow(_findings, "codes array<array<long>>, label int, around array<string>").collect()
-    got.sort(key=lambda r: (r["codes"], r["label"]))
-    rng = np.random.default_rng(9)
-    codes, labels = [r["codes"] for r in got], [r["label"] for r in got]
-    around = [r["around"] for r in got if r["label"] == 0] or [["", ""]]
-    seeded = max(SYNTHETIC, len(got) // FOUND_PER_SEEDED)
-    for _ in range(seeded):
-        value, label = made_values(rng)
-        before, after = around[rng.integers(len(around))]
-        codes.append(sampled(before + value + after, len(before), len(before) + len(value)))
-        labels.append(label)
-    labels, sizes = np.array(labels, float), np.array([len(c) for c in codes])
-    flat = np.array([w for c in codes for w in c], np.int64)
-    hold = rng.random(len(codes)) < 0.25
-    held = np.repeat(hold, sizes)
+    """Fits on three quarters of all examples of all documents, calibrates and cuts on the others. ``learned_from`` counts them."""
+    spark = docs.sparkSession
+    examples = learning_examples(docs, doc_id, text, trash := [])
+    size = examples.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("codes")), F.lit(0)).alias("bytes")).first()
+    count = max(1, -(-size["n"] // BLOCK), -(-size["bytes"] // BLOCK_BYTES))
+    # Blocks of the holdout come after the others. Each holds its examples sorted, so what is learned does not depend on how rows came.
+    block = F.pmod(F.xxhash64("draw", F.lit(7)), F.lit(count)) + F.when(F.pmod(F.xxhash64("draw", F.lit(11)), F.lit(4)) == 0, count).otherwise(0)
+    dealt = examples.withColumn("block", block).repartition(count, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("draw", "seeded", "codes", "label"))).alias("rows"))
+    blocks = write_through(dealt, "blocks", trash)
     network = CharNetwork()
-    network.fit(flat[~held], labels[~hold], sizes[~hold])
-    # Base findings stay whatever their score, so only the seeded keys say where others are cut.
-    strongest = flat[held][network.strongest(flat[held], sizes[hold])]
-    network.calibrate(strongest, labels[hold], decided=(np.arange(len(codes)) >= len(got))[hold])
+    rounds, epochs = (1, EPOCHS) if count == 1 else (ROUNDS, 1)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(network)
+        got = blocks.where(F.col("block") < count).mapInArrow(_passed(shared, epochs), "n long, sums binary").collect()
+        shared.destroy()
+        if got:
+            mean = sum(np.frombuffer(r["sums"], np.int64) for r in got) / (sum(r["n"] for r in got) * WEIGHT_STEPS)
+            edges = np.cumsum([v.size for v in network.values])[:-1]
+            network.values = [part.reshape(v.shape) for part, v in zip(np.split(mean, edges), network.values)]
+    shared = spark.sparkContext.broadcast(network)
+    scores = blocks.where(F.col("block") >= count).mapInArrow(_counted(shared), "z long, label long, seeded long, n long")
+    held = scores.groupBy("z", "label", "seeded").agg(F.sum("n").alias("n")).orderBy("z", "label", "seeded").collect()
+    shared.destroy()
+    for folder in trash:
+        remove_folder(spark, folder)
+    if held:
+        z, labels, seeded, counts = (np.array(c, float) for c in zip(*held))
+        # Base findings stay whatever their score, so only the seeded keys say where others are cut.
+        network.calibrate_scores(z / SCORE_STEPS, labels, counts, decided=seeded > 0)
+    network.learned_from = size["n"]
     return network
 
 
