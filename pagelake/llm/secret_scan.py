@@ -32,7 +32,7 @@ from pagelake.session import remove_folder, write_through
 KINDS = ("assign", "access", "hex", "key")
 RECALL = 0.98
 #: Seeded examples: about so many at least, and one for so many others, so that keys keep their share of all.
-SYNTHETIC, FOUND_PER_SEEDED = 700, 5
+SYNTHETIC, FOUND_PER_SEEDED = 4000, 5
 #: Passes over the examples: of a single block, and rounds of one pass where there are several.
 EPOCHS, ROUNDS = 12, 4
 RATE, BATCH = 0.01, 128
@@ -325,7 +325,10 @@ def learning_examples(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """draw, seeded, codes and label of every example of every text. An action; its folder is added to ``folders``."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("body")).where("body is not null")
-    found = write_through(rows.mapInArrow(_findings, EXAMPLE).withColumn("draw", F.xxhash64("number", "place", "label")), "findings", folders)
+    # Equal examples, of repeated rows or those without ids, are numbered so that no block gets all of them.
+    equal = rows.mapInArrow(_findings, EXAMPLE).groupBy("number", "place", "label", "codes").agg(F.count("*").alias("copies"))
+    each = equal.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    found = write_through(each.select("label", "codes", F.xxhash64("number", "place", "label", "codes", "copy").alias("draw")), "findings", folders)
     counts = found.agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 0, 1)).alias("places")).first()
     seeded = max(SYNTHETIC, counts["n"] // FOUND_PER_SEEDED)
     if counts["places"]:

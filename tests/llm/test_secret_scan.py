@@ -132,3 +132,11 @@ def test_learning_in_blocks(spark, monkeypatch):
     got = {r.doc_id: r.spans for r in found_secrets(docs, network).collect()}
     assert sum(any(s.kind == "key" for s in got[5000 + k]) for k in range(200)) >= 190
     assert sum(any(s.kind == "key" for s in got[k]) for k in range(3000)) <= 150
+
+
+def test_repeated_rows_are_dealt_to_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "BLOCK", 256)
+    docs = spark.range(2000).selectExpr("if(id % 2 = 0, null, 7L) as doc_id", "'a token=abcdef012345 and Some-Thing-01234 there' as text")
+    examples = secret_scan.learning_examples(docs, folders=[])
+    assert sorted(r["count"] for r in examples.where("seeded = 0").groupBy("draw").count().collect())[-1] == 1
+    assert learned_network(docs).learned_from >= 4000 + 600
